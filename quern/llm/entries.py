@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing
+from quern.llm import packing, repetition
 from quern.llm.common import table
 
 
@@ -19,5 +19,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op5_repetition": op5_repetition}
 SQL: dict[str, str] = {}
