@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing, repetition
+from quern.llm import chosen_path, packing, repetition
 from quern.llm.common import table
 
 
@@ -19,9 +19,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_repetition": op5_repetition}
+QUERIES = {"op1_packing": op1_packing, "op3_chosen_path": op3_chosen_path, "op5_repetition": op5_repetition}
 SQL: dict[str, str] = {}
