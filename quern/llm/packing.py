@@ -13,6 +13,7 @@ they are asked for). A task never holds more than one group.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -44,31 +45,75 @@ class WordIds:
     The tokenizer replaces white space by one space, and its pre-tokenizer
     never joins what white space parts, so a text's ids are its words' ids in
     a row. ``encode`` gives little-endian unsigned 32-bit ids.
+
+    New words go to the tokenizer many at a time. Words of letters alone are
+    one pre-token each, whose last id ends a word, so they are encoded as one
+    text and parted again; if the count of ends differs, or a word has other
+    characters, it is encoded by itself.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.keep = keep
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > self.keep:
-            known = self.known = {}
-            new = list(dict.fromkeys(words))
-        for part in range(0, len(new), 4096):
-            some = new[part : part + 4096]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        # ASCII letters are made lower early, so that fewer words differ. Not before
+        # combining marks: the tokenizer composes them first, which depends on case.
+        texts = [t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        words = [t.split() for t in texts]
+        distinct = set().union(*words)
+        if len(self.known) > self.keep:
+            self.known, self.older = {}, self.known
+        self.learn(distinct.difference(self.known))
+        get = self.known.__getitem__
+        for some in words:
+            yield b"".join(map(get, some))
+
+    def learn(self, words: set[bytes]) -> None:
+        known, older = self.known, self.older
+        stopped, letters, others = [], {}, []
+        for word in words:
+            if (ids := older.get(word)) is not None:
+                known[word] = ids
+            elif word[-1] in b".," and word[:-1].isalpha():
+                stopped.append(word)
+                if word[:-1] not in known:
+                    letters[word[:-1]] = None
+            elif word.isalpha() or word.decode().isalpha():
+                letters[word] = None
+            else:
+                others.append(word)
+        self.learn_letters(list(letters))
+        self.learn_each(others + [b".", b","])
+        for word in stopped:
+            known[word] = known[word[:-1]] + known[word[-1:]]
+
+    def learn_letters(self, words: list[bytes]) -> None:
+        for first in range(0, len(words), 1000):
+            some = words[first : first + 1000]
+            ids = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids
+            ids = np.asarray(ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(some):
+                self.learn_each(some)
+                continue
+            flat, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
+            self.known.update(zip(some, map(flat.__getitem__, map(slice, starts, stops.tolist())), strict=True))
+
+    def learn_each(self, words: list[bytes]) -> None:
+        for first in range(0, len(words), 4096):
+            some = words[first : first + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
             for word, one in zip(some, found, strict=True):
-                known[word] = np.asarray(one.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+                self.known[word] = np.asarray(one.ids, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -112,10 +157,10 @@ def _cut(path: str, end_id: int, length: int, seed: int, with_ids: bool) -> Call
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = word_ids(path), Counter()
-        for ids, texts in batches(source):
+        for ids, texts in batches(source, 4 << 20):
             rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                tokens = encoder.encode(text) + end
+            for doc_id, tokens in zip(ids, encoder.encode(texts), strict=True):
+                tokens += end
                 # Equal rows get 0, 1, 2 ... here, in whatever order they come, so that they spread.
                 key = xxhash.xxh3_64_intdigest(b"%d %s" % (doc_id if doc_id is not None else -1, tokens), seed)
                 deal = xxhash.xxh3_64_intdigest(b"%d %d" % (key, seen[key]), seed) - (1 << 63)

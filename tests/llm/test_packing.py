@@ -1,8 +1,9 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -13,10 +14,15 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "text string, doc_id long, start string, offset int"
 
 
-def plain_ids(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+    return Tokenizer.from_file(PATH)
+
+
+def plain_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
 def plain_first_fit(sizes, capacity):
@@ -35,6 +41,16 @@ def test_tournament_tree_finds_the_first_bin(sizes):
     assert packing.first_fit_decreasing(sizes, 50) == plain_first_fit(sizes, 50)
 
 
+MIXED = st.lists(st.text(st.sampled_from("aZ é É\u0301İß.,'s t1٣ #\u0308ǰJ\u030c\n\u00a0"), max_size=30), min_size=1, max_size=5)
+
+
+@given(MIXED)
+@settings(max_examples=300, deadline=None)
+def test_words_give_the_texts_ids(texts):
+    got = list(packing.word_ids(PATH).encode([t.encode() for t in texts]))
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [plain_ids(t)[:-1] for t in texts]
+
+
 TEXTS = ["it's   a TEST,\n\tof 12 things here ́x", "", None, "don't stop " * 900, "Ünïcodé ẞ İ \x1c\x0b\x85 <|endoftext|> ok", "a" * 5000]
 
 
