@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, packing, repetition
+from quern.llm import chosen_path, packing, repetition, telephony
 from quern.llm.common import table
 
 
@@ -27,5 +27,9 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_chosen_path": op3_chosen_path, "op5_repetition": op5_repetition}
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.text_as_media(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_chosen_path": op3_chosen_path, "op5_repetition": op5_repetition, "op7_telephony": op7_telephony}
 SQL: dict[str, str] = {}
