@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, packing, repetition, telephony
+from quern.llm import chosen_path, packing, repetition, suffix_tree, telephony
 from quern.llm.common import table
 
 
@@ -31,5 +31,9 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_chosen_path": op3_chosen_path, "op5_repetition": op5_repetition, "op7_telephony": op7_telephony}
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_chosen_path": op3_chosen_path, "op5_repetition": op5_repetition, "op7_telephony": op7_telephony, "op8_suffix_tree": op8_suffix_tree}
 SQL: dict[str, str] = {}
