@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, packing, repetition, suffix_tree, telephony
+from quern.llm import chosen_path, packing, repetition, segment_crf, suffix_tree, telephony
 from quern.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_segment_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,12 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_chosen_path": op3_chosen_path, "op5_repetition": op5_repetition, "op7_telephony": op7_telephony, "op8_suffix_tree": op8_suffix_tree}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_chosen_path": op3_chosen_path,
+    "op4_segment_crf": op4_segment_crf,
+    "op5_repetition": op5_repetition,
+    "op7_telephony": op7_telephony,
+    "op8_suffix_tree": op8_suffix_tree,
+}
 SQL: dict[str, str] = {}
