@@ -14,8 +14,9 @@ The order of work keeps groups of copies from being compared pair by pair:
 2. In every bucket each text is first held against one of the bucket's, the
    pivot. Pairs whose sketches agree enough are checked exactly, and what they
    link is joined into components.
-3. Buckets whose texts are all in one component can add nothing. In others,
-   pairs of different components are compared, after splitting.
+3. Buckets whose texts are all in one component can add nothing. Others are
+   split; texts whose sketch agrees with one of another component are compared
+   exactly, and of the links only those that join components leave the task.
 4. Links are counted exactly, block by block, within each component; every
    link lies in one.
 
@@ -179,31 +180,69 @@ def _matrix(column: pa.ChunkedArray, samples: int) -> np.ndarray:
 
 
 def _brute_force(settings: Settings) -> Callable:
-    """Rows (key, side, tid, comp, sig) sorted by key and side to pairs of different components whose sketches agree.
+    """Rows (key, side, tid, comp, sig) sorted by key and side to those whose sketch agrees with one of another component.
 
     Rows of side 0 are compared with one another; if there are rows of side 1,
     they are compared with those of side 0 instead.
     """
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("tid", pa.binary()), ("comp", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
+        held, n_held = [], 0
         for rows in runs_of_key(source, ["key"]):
-            tids, comps = rows["tid"].to_pylist(), np.asarray(rows["comp"].to_pylist(), dtype=object)
             sigs, n = _matrix(rows["sig"], settings.samples), rows.num_rows
+            comps = np.unique(np.asarray(rows["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
             first = int(n - np.count_nonzero(np.asarray(rows["side"])))
+            found = np.zeros(n, dtype=bool)
             for i in range(first):
                 begin = first if first < n else i + 1
                 agree = np.count_nonzero(sigs[begin:] == sigs[i], axis=1) >= settings.agreeing
-                for j in np.flatnonzero(agree) + begin:
-                    if comps[i] != comps[j] and tids[i] != tids[j]:
-                        left.append(min(tids[i], tids[j]))
-                        right.append(max(tids[i], tids[j]))
-            if len(left) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=schema)
-                left, right = [], []
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=schema)
+                agree &= comps[begin:] != comps[i]
+                found[i] |= agree.any()
+                found[begin:] |= agree
+            if found.any():
+                held.append(rows.select(schema.names).filter(pa.array(found)).cast(schema))
+                n_held += int(found.sum())
+            if n_held > 5_000:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held, n_held = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    return run
+
+
+def spanning(linked: np.ndarray, comps: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
+    """Links that join the components as all links do, at most one fewer than there are components.
+
+    ``linked`` has a row for each of the first members, and a column for each of those from ``first`` on.
+    """
+    root = comps.copy()
+    for i in range(len(linked)):
+        js = np.flatnonzero(linked[i]) + first
+        js = js[root[js] != root[i]]
+        for j in js[np.unique(root[js], return_index=True)[1]]:
+            yield i, int(j)
+            root[root == root[j]] = root[i]
+
+
+def _exact(settings: Settings) -> Callable:
+    """Rows (key, side, tid, comp, text) sorted by key and side to links (a, b) between components."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of_key(source, ["key"]):
+            tids = rows["tid"].to_pylist()
+            comps = np.unique(np.asarray(rows["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
+            sets = [np.unique(shingles(t, settings.words)) for t in rows["text"].cast(pa.binary()).to_pylist()]
+            split = int(len(sets) - np.count_nonzero(np.asarray(rows["side"])))
+            if split == 0:
+                continue
+            x, y, first = (sets, sets, 0) if split == len(sets) else (sets[:split], sets[split:], split)
+            pairs = [sorted((tids[i], tids[j])) for i, j in spanning(linked(x, y, settings.similarity), comps, first)]
+            if pairs:
+                columns = [pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
@@ -243,8 +282,8 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(both) - common) - 1e-9
 
 
-def link_counts(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For every set in x, how many of y have the similarity. Sets are sorted and without repeats."""
+def linked(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of y have the similarity to each of x. Sets are sorted and without repeats."""
     sizes_x = np.asarray([len(v) for v in x], dtype=np.int64)
     sizes_y = np.asarray([len(v) for v in y], dtype=np.int64)
     values = np.concatenate([*x, *y])
@@ -272,7 +311,12 @@ def link_counts(x: list[np.ndarray], y: list[np.ndarray], similarity: float) ->
         q[row_y[c:d], code_y[c:d] - first] = 1
         common += p @ q.T
     union = sizes_x[:, None] + sizes_y[None, :] - common
-    return np.count_nonzero(common >= similarity * union - 1e-9, axis=1)
+    return common >= similarity * union - 1e-9
+
+
+def link_counts(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.ndarray:
+    """How many of y have the similarity to each of x."""
+    return np.count_nonzero(linked(x, y, similarity), axis=1)
 
 
 def _count_links(settings: Settings) -> Callable:
@@ -375,10 +419,19 @@ class Join:
         return pairs.join(a, "a").join(b, "b").where(same >= self.s.agreeing).select("a", "b")
 
     def compared(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs from bounded buckets (key, side, tid, comp)."""
+        """Of bounded buckets (key, side, tid, comp), the rows that can have a link to another component."""
         full = rows.join(sketches, "tid").select("key", "side", "tid", "comp", "sig")
         return full.repartition("key").sortWithinPartitions("key", "side", "tid").mapInArrow(
-            _brute_force(self.s), "a binary, b binary"
+            _brute_force(self.s), "key long, side int, tid binary, comp binary"
+        )
+
+    def exact(self, rows: DataFrame) -> DataFrame:
+        """Links (a, b) between components in bounded buckets (key, side, tid, comp), enough of them to join the components."""
+        rows = checkpointed(rows)
+        texts = self.texts(checkpointed(rows.select("tid").distinct()))
+        full = rows.join(texts, "tid").select("key", "side", "tid", "comp", "text")
+        return checkpointed(
+            full.repartition("key").sortWithinPartitions("key", "side", "tid").mapInArrow(_exact(self.s), "a binary, b binary").distinct()
         )
 
     def blocks(self, rows: DataFrame, by: str) -> DataFrame:
@@ -396,31 +449,41 @@ class Join:
         )
 
     def split(self, buckets: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Candidate pairs of different components, from splitting the buckets level by level."""
+        """Bounded buckets (key, side, tid, comp) of texts of several components, from splitting level by level.
+
+        A large bucket of which a sampled shingle keeps half is dense: its
+        texts are alike, and splitting it further would only repeat it. It is
+        compared in blocks, as is what is still large at the last level.
+        """
         s, found = self.s, None
         rows = buckets.where("n > 2").join(comps, buckets["tid"] == comps["node"], "left").select(
-            "run", "key", "tid", F.coalesce("comp", "tid").alias("comp")
+            "run", "key", "tid", F.coalesce("comp", "tid").alias("comp"), F.lit(1 << 62).alias("above")
         )
         for level in range(s.depth + 1):
             sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
             mixed = checkpointed(rows.join(sizes.where("c0 < c1").select("key", "n"), "key"))
-            small = mixed.where(F.col("n") <= s.bucket).select("key", F.lit(0).alias("side"), "tid", "comp")
-            large = mixed.where(F.col("n") > s.bucket)
-            pairs = self.compared(small, sketches)
-            found = pairs if found is None else found.unionByName(pairs)
+            small = F.col("n") <= s.bucket
+            done = F.lit(True) if level == s.depth else F.col("n") * 2 > F.col("above")
+            own = mixed.where(small).select("key", F.lit(0).alias("side"), "tid", "comp")
+            found = own if found is None else found.unionByName(own)
+            large = mixed.where(~small)
             if large.isEmpty():
                 break
+            rest = self.blocks(large.where(done).select(F.col("key").alias("bucket"), "tid", "comp", "n"), "bucket")
+            found = found.unionByName(rest.select("key", "side", "tid", "comp"))
             if level == s.depth:
-                rest = self.blocks(large.withColumnRenamed("key", "bucket").drop("run"), "bucket").drop("bucket")
-                found = found.unionByName(self.compared(rest, sketches))
                 break
             others = s.samples - s.runs
             place = [
                 F.lit(s.runs) + F.pmod((F.col("run") * s.depth + level) * s.branches + b, F.lit(others)) for b in range(s.branches)
             ]
             keys = F.array(*[F.xxhash64("key", F.lit(b), F.get("sig", p)) for b, p in enumerate(place)])
-            rows = large.join(sketches, "tid").select("run", F.explode(keys).alias("key"), "tid", "comp")
-        return found.distinct()
+            rows = (
+                large.where(~done)
+                .join(sketches, "tid")
+                .select("run", F.explode(keys).alias("key"), "tid", "comp", F.col("n").alias("above"))
+            )
+        return self.compared(found, sketches)
 
     def classes(self) -> DataFrame:
         """(tid, comp) of the texts that are linked to another."""
@@ -429,9 +492,12 @@ class Join:
         pivots = buckets.where("tid <> pivot").select(F.col("pivot").alias("a"), F.col("tid").alias("b")).distinct()
         links = self.verified(self.agreeing(pivots, sketches))
         comps = components(links)
-        more = self.verified(self.split(buckets, comps, sketches))
-        if not more.isEmpty():
-            comps = components(links.unionByName(more))
+        # The first run alone, as what it joins need not be compared in the others.
+        for runs in ("run = 0", "run > 0"):
+            more = self.exact(self.split(buckets.where(runs), comps, sketches))
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                comps = components(links)
         return checkpointed(comps.select(F.col("node").alias("tid"), "comp"))
 
     def links(self, classes: DataFrame) -> DataFrame:
