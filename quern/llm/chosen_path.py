@@ -17,6 +17,8 @@ The order of work keeps groups of copies from being compared pair by pair:
 3. Buckets whose texts are all in one component can add nothing. Others are
    split; texts whose sketch agrees with one of another component are compared
    exactly, and of the links only those that join components leave the task.
+   Buckets that splitting does not thin out are merged to clusters first, over
+   all runs, so that a large group of like texts is compared once.
 4. Links are counted exactly, block by block, within each component; every
    link lies in one.
 
@@ -180,26 +182,21 @@ def _matrix(column: pa.ChunkedArray, samples: int) -> np.ndarray:
 
 
 def _brute_force(settings: Settings) -> Callable:
-    """Rows (key, side, tid, comp, sig) sorted by key and side to those whose sketch agrees with one of another component.
-
-    Rows of side 0 are compared with one another; if there are rows of side 1,
-    they are compared with those of side 0 instead.
-    """
-    schema = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("tid", pa.binary()), ("comp", pa.binary())])
+    """Rows (key, tid, comp, cluster, sig) sorted by key to those whose sketch agrees with one of another component and cluster."""
+    schema = pa.schema([("key", pa.int64()), ("tid", pa.binary()), ("comp", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
         for rows in runs_of_key(source, ["key"]):
             sigs, n = _matrix(rows["sig"], settings.samples), rows.num_rows
-            comps = np.unique(np.asarray(rows["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
-            first = int(n - np.count_nonzero(np.asarray(rows["side"])))
+            labels = [np.unique(np.asarray(rows[c].to_pylist(), dtype=object), return_inverse=True)[1] for c in ("comp", "cluster")]
             found = np.zeros(n, dtype=bool)
-            for i in range(first):
-                begin = first if first < n else i + 1
-                agree = np.count_nonzero(sigs[begin:] == sigs[i], axis=1) >= settings.agreeing
-                agree &= comps[begin:] != comps[i]
+            for i in range(n - 1):
+                agree = np.count_nonzero(sigs[i + 1 :] == sigs[i], axis=1) >= settings.agreeing
+                for label in labels:
+                    agree &= label[i + 1 :] != label[i]
                 found[i] |= agree.any()
-                found[begin:] |= agree
+                found[i + 1 :] |= agree
             if found.any():
                 held.append(rows.select(schema.names).filter(pa.array(found)).cast(schema))
                 n_held += int(found.sum())
@@ -338,14 +335,36 @@ def _count_links(settings: Settings) -> Callable:
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _union_find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) to (node, comp)."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in source:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    if root:
+        columns = [list(root), [find(x) for x in root]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["node", "comp"])
+
+
+def components(edges: DataFrame, in_one_task: int = 500_000) -> DataFrame:
     """(node, comp) for every node of the edges (a, b); comp is the least node of its component.
 
-    Alternating stars: each node hands its greater neighbours, and then the
-    lesser ones, to the least of its neighbours, until only stars are left.
-    The rounds grow with the logarithm of the size.
+    As many edges as fit in a task with ease are joined in one. More take
+    rounds of alternating stars: each node hands its greater neighbours, and
+    then the lesser ones, to the least of its neighbours, until only stars are
+    left. The rounds grow with the logarithm of the size.
     """
     now = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    if now.count() <= in_one_task:
+        return checkpointed(now.coalesce(1).mapInArrow(_union_find, "node binary, comp binary"))
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -360,7 +379,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = new
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return pairs.unionByName(pairs.select(F.col("comp").alias("node"), "comp")).distinct()
+    return checkpointed(pairs.unionByName(pairs.select(F.col("comp").alias("node"), "comp")).distinct())
 
 
 class Join:
@@ -419,10 +438,10 @@ class Join:
         return pairs.join(a, "a").join(b, "b").where(same >= self.s.agreeing).select("a", "b")
 
     def compared(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Of bounded buckets (key, side, tid, comp), the rows that can have a link to another component."""
-        full = rows.join(sketches, "tid").select("key", "side", "tid", "comp", "sig")
-        return full.repartition("key").sortWithinPartitions("key", "side", "tid").mapInArrow(
-            _brute_force(self.s), "key long, side int, tid binary, comp binary"
+        """Of bounded buckets (key, tid, comp, cluster), the rows (key, tid, comp) that can have a link to look for."""
+        full = rows.join(sketches, "tid").select("key", "tid", "comp", "cluster", "sig")
+        return full.repartition("key").sortWithinPartitions("key", "tid").mapInArrow(
+            _brute_force(self.s), "key long, tid binary, comp binary"
         )
 
     def exact(self, rows: DataFrame) -> DataFrame:
@@ -448,30 +467,26 @@ class Join:
             .drop("parts", "own", "other", "n")
         )
 
-    def split(self, buckets: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Bounded buckets (key, side, tid, comp) of texts of several components, from splitting level by level.
+    def split(self, buckets: DataFrame, comps: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Small and dense buckets (key, tid, comp) of texts of several components, from splitting level by level.
 
         A large bucket of which a sampled shingle keeps half is dense: its
-        texts are alike, and splitting it further would only repeat it. It is
-        compared in blocks, as is what is still large at the last level.
+        texts are alike, and splitting it further would only repeat it. What
+        is still large at the last level counts as dense too.
         """
-        s, found = self.s, None
+        s, small, dense = self.s, None, None
         rows = buckets.where("n > 2").join(comps, buckets["tid"] == comps["node"], "left").select(
             "run", "key", "tid", F.coalesce("comp", "tid").alias("comp"), F.lit(1 << 62).alias("above")
         )
         for level in range(s.depth + 1):
             sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
             mixed = checkpointed(rows.join(sizes.where("c0 < c1").select("key", "n"), "key"))
-            small = F.col("n") <= s.bucket
             done = F.lit(True) if level == s.depth else F.col("n") * 2 > F.col("above")
-            own = mixed.where(small).select("key", F.lit(0).alias("side"), "tid", "comp")
-            found = own if found is None else found.unionByName(own)
-            large = mixed.where(~small)
-            if large.isEmpty():
-                break
-            rest = self.blocks(large.where(done).select(F.col("key").alias("bucket"), "tid", "comp", "n"), "bucket")
-            found = found.unionByName(rest.select("key", "side", "tid", "comp"))
-            if level == s.depth:
+            large = mixed.where(F.col("n") > s.bucket)
+            own, alike = (x.select("key", "tid", "comp") for x in (mixed.where(F.col("n") <= s.bucket), large.where(done)))
+            small = own if small is None else small.unionByName(own)
+            dense = alike if dense is None else dense.unionByName(alike)
+            if level == s.depth or large.isEmpty():
                 break
             others = s.samples - s.runs
             place = [
@@ -483,7 +498,28 @@ class Join:
                 .join(sketches, "tid")
                 .select("run", F.explode(keys).alias("key"), "tid", "comp", F.col("n").alias("above"))
             )
-        return self.compared(found, sketches)
+        return small, checkpointed(dense)
+
+    def joined(self, comps: DataFrame, small: DataFrame, dense: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Links (a, b) that join components.
+
+        Dense buckets that share texts, in this run or another, are one
+        cluster, and all of its texts are compared in blocks, once. In small
+        buckets, texts of one cluster need no more comparing.
+        """
+        heads = dense.groupBy("key").agg(F.min("tid").alias("a"))
+        clusters = components(dense.join(heads, "key").select("a", F.col("tid").alias("b"))).select(
+            F.col("node").alias("tid"), F.col("comp").alias("cluster")
+        )
+        known = clusters.join(comps.withColumnRenamed("node", "tid"), "tid", "left").select(
+            "tid", "cluster", F.coalesce("comp", "tid").alias("comp")
+        )
+        sizes = known.groupBy("cluster").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        mixed = known.join(sizes.where("c0 < c1").select("cluster", "n"), "cluster")
+        in_blocks = self.blocks(mixed, "cluster").select("key", "side", "tid", "comp")
+        marked = small.join(clusters, "tid", "left").withColumn("cluster", F.coalesce("cluster", "tid"))
+        in_buckets = self.compared(marked, sketches).select("key", F.lit(0).alias("side"), "tid", "comp")
+        return self.exact(in_blocks.unionByName(in_buckets))
 
     def classes(self) -> DataFrame:
         """(tid, comp) of the texts that are linked to another."""
@@ -492,13 +528,10 @@ class Join:
         pivots = buckets.where("tid <> pivot").select(F.col("pivot").alias("a"), F.col("tid").alias("b")).distinct()
         links = self.verified(self.agreeing(pivots, sketches))
         comps = components(links)
-        # The first run alone, as what it joins need not be compared in the others.
-        for runs in ("run = 0", "run > 0"):
-            more = self.exact(self.split(buckets.where(runs), comps, sketches))
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                comps = components(links)
-        return checkpointed(comps.select(F.col("node").alias("tid"), "comp"))
+        more = self.joined(comps, *self.split(buckets, comps, sketches), sketches)
+        if not more.isEmpty():
+            comps = components(links.unionByName(more))
+        return comps.select(F.col("node").alias("tid"), "comp")
 
     def links(self, classes: DataFrame) -> DataFrame:
         """(tid, links): the other texts that each text is linked to."""

@@ -71,11 +71,12 @@ def test_empty_table(spark):
     assert C.near_duplicates(df).count() == C.keep_one_of_each(df).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [0, 1000])
+def test_components(spark, in_one_task):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(25)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")
-    got = {r.node[0]: r.comp[0] for r in C.components(df).collect()}
+    got = {r.node[0]: r.comp[0] for r in C.components(df, in_one_task).collect()}
     root = {}
     find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
     for a, b in edges:
