@@ -57,4 +57,5 @@ def lagged_pairs(rows: DataFrame, keys: list[str], order: list[str], command: st
     """Pairs of a frame's command and the state ``lag`` frames later, for each lag up to the most: (keys, lag, command, state)."""
     w = series.along(keys, order)
     states = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead(state, k).over(w).alias("state")) for k in range(most + 1)])
-    return rows.select(*keys, F.col(command).alias("command"), F.inline(states)).where("state is not null")
+    made = rows.select(*keys, F.col(command).alias("command"), states.alias("states"))
+    return made.select(*keys, "command", F.inline("states")).where("state is not null")

@@ -44,7 +44,7 @@ m AS (
       CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END,
       CASE WHEN quality IS NULL THEN 'unlabelled' END, CASE WHEN n_chars < 100 THEN 'too_short' END,
       CASE WHEN group_size > 1 AND d.doc_id <> canonical THEN 'exact_duplicate_noncanonical' END
-    ], x -> x IS NOT NULL)) AS reasons
+    ], lambda x: x IS NOT NULL)) AS reasons
   FROM d JOIN g USING (sha) LEFT JOIN labels l ON l.doc_id = d.doc_id
 )"""
 

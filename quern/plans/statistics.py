@@ -11,18 +11,22 @@ from quern.plans.windows import KEYS, ORDER, E, W, events
 from quern.tables import table
 
 
+#: Added before rounding where exact means lie halfway between two rounded values, so that all engines go the same way.
+NUDGE = 1e-9
+
+
 def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-@query("""SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean,
+@query("""SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value) + 1e-9, 6) AS mean,
   round(stddev_pop(value), 6) AS std, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id""")
 def episode_audit(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(
         F.count("*").alias("n"),
         F.min("value").alias("least"),
         F.max("value").alias("most"),
-        F.round(F.avg("value"), 6).alias("mean"),
+        F.round(F.avg("value") + NUDGE, 6).alias("mean"),
         F.round(F.stddev_pop("value"), 6).alias("std"),
         F.count_distinct("event_type").alias("kinds"),
     )
@@ -124,9 +128,9 @@ def servo_ols(spark, d):
     )
 
 
-@query(f"WITH {PAIRS} SELECT user_id, round({MAE}, 6) AS mae FROM p WHERE lag = 0 GROUP BY user_id ORDER BY mae, user_id")
+@query(f"WITH {PAIRS} SELECT user_id, round({MAE} + 1e-9, 6) AS mae FROM p WHERE lag = 0 GROUP BY user_id ORDER BY mae, user_id")
 def dataset_mae_rank(spark, d):
-    out = _pairs(spark, d, 0).groupBy("user_id").agg(F.round(F.avg(F.abs(F.col("state") - F.col("command"))), 6).alias("mae"))
+    out = _pairs(spark, d, 0).groupBy("user_id").agg(F.round(F.avg(F.abs(F.col("state") - F.col("command"))) + NUDGE, 6).alias("mae"))
     return out.orderBy("mae", "user_id")
 
 
@@ -135,7 +139,8 @@ def dataset_mae_rank(spark, d):
 def grouping_sets_error(spark, d):
     w = series.along(KEYS, ORDER)
     states = F.array(*[F.struct(F.lit(i).alias("lag"), F.lead("k", i).over(w).alias("state")) for i in range(6)])
-    rows = events(spark, d).select("event_type", F.col("v").alias("command"), F.inline(states)).where("state is not null")
+    made = events(spark, d).select("event_type", F.col("v").alias("command"), states.alias("states"))
+    rows = made.select("event_type", "command", F.inline("states")).where("state is not null")
     out = rows.groupingSets([[], ["lag"], ["event_type"]], "lag", "event_type").agg(*stats.errors([]))
     return out.select(
         F.coalesce("lag", F.lit(-1)).cast("int").alias("lag"), F.coalesce("event_type", F.lit("*")).alias("event_type"), "n", *r6("mae", "rmse")

@@ -81,7 +81,8 @@ def _rates(spark):
   string_agg(CASE WHEN n < 1 THEN 0 ELSE least(greatest(round_even(i * fps::DOUBLE / target::DOUBLE, 0)::BIGINT + 1, 0), n - 1) END::VARCHAR, ',' ORDER BY i) AS indices
 FROM {RATES}, range(0, 40, 8) AS l(n), range(0, 16) AS s(i) GROUP BY fps, target, n""")
 def resample_rint(spark, d):
-    rows = _rates(spark).select("*", F.explode(F.sequence(F.lit(0), F.lit(32), F.lit(8))).cast("long").alias("length"))
+    lengths = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(32).cast("long"), F.lit(8).cast("long")))
+    rows = _rates(spark).select("*", lengths.alias("length"))
     at = series.resample_rint(F.col("length"), 16, F.col("fps"), F.col("target"), F.lit(1))
     return rows.select("fps", "target", "length", F.array_join(at, ",").alias("indices"))
 
@@ -132,7 +133,7 @@ def window_gather(spark, d):
 
 
 @query("""WITH t AS (SELECT conv_id, list(turn ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
-SELECT conv_id, array_to_string(list_transform(range(0, 9), i -> t[least(i, len(t) - 1) + 1]), ',') AS turns FROM t""")
+SELECT conv_id, array_to_string(list_transform(range(0, 9), lambda i: t[least(i, len(t) - 1) + 1]), ',') AS turns FROM t""")
 def tail_pad(spark, d):
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
     return turns.select("conv_id", F.array_join(series.tail_repeat(F.col("t"), 9), ",").alias("turns"))
@@ -160,7 +161,7 @@ def second_difference(spark, d):
 
 
 @query(f"""WITH {E}, t AS (SELECT user_id, list(v ORDER BY idx) AS a, arg_min(k, idx) AS s0 FROM e GROUP BY user_id)
-SELECT user_id, len(a)::INT AS n, round(list_reduce(list_concat([s0], a[:len(a) - 1]), (s, x) -> s + 0.3 * (x - s) + 0.01), 6) AS last_state FROM t""")
+SELECT user_id, len(a)::INT AS n, round(list_reduce(list_concat([s0], a[:len(a) - 1]), lambda s, x: s + 0.3 * (x - s) + 0.01), 6) AS last_state FROM t""")
 def servo_recurrence(spark, d):
     ordered = F.array_sort(F.collect_list(F.struct("idx", "v", "k")))
     rows = frames(spark, d).groupBy("user_id").agg(ordered.alias("f"))
