@@ -77,7 +77,7 @@ class Settings:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -139,7 +139,7 @@ def _sampled(settings: Settings) -> Callable:
             for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if tid in seen:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 100_000:
                     seen.add(tid)
                 tids.append(tid)
                 values.append(shingles(text, settings.words))

@@ -74,7 +74,7 @@ class Automaton:
 class Counts(dict):
     """Counts of words, found when first asked for; a bounded table."""
 
-    def __init__(self, automaton: Automaton, keep: int = 1_000_000):
+    def __init__(self, automaton: Automaton, keep: int = 300_000):
         super().__init__()
         self.automaton, self.keep = automaton, keep
 

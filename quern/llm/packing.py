@@ -52,7 +52,7 @@ class WordIds:
     characters, it is encoded by itself.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,6 +77,10 @@ class WordIds:
         for some in words:
             yield b"".join(map(get, some))
 
+    def forget(self) -> None:
+        """Give the tables' memory back: the worker may serve quite other tasks next."""
+        self.known, self.older = {}, {}
+
     def learn(self, words: set[bytes]) -> None:
         known, older = self.known, self.older
         stopped, letters, others = [], {}, []
@@ -173,6 +177,7 @@ def _cut(path: str, end_id: int, length: int, seed: int, with_ids: bool) -> Call
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
             )
+        encoder.forget()
 
     return cut
 
