@@ -25,6 +25,8 @@ from quern.llm.common import WORD
 LEAF = ("domain", "lang", "source")
 #: Hexadecimal digits of a digest that tell its part of the range.
 PART = 3
+#: Parts that a leaf's documents are dealt to where they meet its budget; a power of two.
+SALTS = 128
 
 
 def words(text: Column) -> Column:
@@ -75,6 +77,14 @@ def leaf_budgets(leaves: DataFrame, share: tuple[int, int], epochs: int, weights
     return filled.select(*LEAF, "tokens", F.col("source_budget").alias("leaf_budget"))
 
 
+def with_leaves(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (LEAF, name, ...) with their leaf's plan. The plan, a row for each leaf, is repeated for each salt."""
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # Never null by its type, so no filter comes between and the exchange of the items is used again.
+    dealt = rows.withColumn("salt", F.xxhash64("name").bitwiseAND(F.lit(SALTS - 1).cast("long")))
+    return dealt.join(salted, [*LEAF, "salt"]).drop("salt")
+
+
 class Mix:
     def __init__(
         self,
@@ -124,7 +134,7 @@ class Mix:
 
     def cutoffs(self, items: DataFrame, plan: DataFrame) -> DataFrame:
         """The plan with ``cutoff``: a leaf's last epoch takes the digests up to it."""
-        placed = items.join(plan, list(LEAF)).where("rest > 0").select(*LEAF, "rest", "tokens", self.digest().alias("h"))
+        placed = with_leaves(items, plan.where("rest > 0")).select(*LEAF, "rest", "tokens", self.digest().alias("h"))
         part = F.substring("h", 1, PART)
         parts = placed.groupBy(*LEAF, "rest", part.alias("part")).agg(F.sum("tokens").alias("held"))
         upto = F.sum("held").over(Window.partitionBy(*LEAF).orderBy("part"))
@@ -144,7 +154,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """Every row with ``copies``, how many epochs take it, where that is 1 at least."""
         copies = F.col("full_epochs") + (self.digest() <= F.col("cutoff")).cast("long")
-        return self.rows.join(self.plan, list(LEAF)).withColumn("copies", copies).where("copies > 0")
+        return with_leaves(self.rows, self.plan).withColumn("copies", copies).where("copies > 0")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
