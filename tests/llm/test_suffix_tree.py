@@ -117,3 +117,26 @@ def test_no_training_text_and_empty_table(spark):
     assert len(rows) == len(held) and {r.n_known for r in rows} == {0} and {r.train_tokens for r in rows} == {0}
     assert all(r.score == pytest.approx(-(len(f"word {r.doc_id} ") + 1) * math.log10(256)) for r in rows)
     assert S.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_contexts_are_retained_whatever_the_rest_of_the_corpus(spark):
+    """Five texts tell each next symbol of theirs, though they are less than 1e-5 of all symbols."""
+    rng = random.Random(3)
+    other = ["".join(rng.choices("bcdfgh", k=6)) for _ in range(4000)]
+    train = [i for i in range(500) if not out(i)]
+    docs = [("qzxwv", i) for i in train[:5]] + [(" ".join(rng.choices(other, k=250)), i) for i in train[5:405]]
+    df = spark.createDataFrame([(t, i, "", "") for t, i in docs], SCHEMA)
+    # Contexts tell the letters after the first; as a share of all symbols they would not be kept, and each letter costs 5.
+    for settings, known in ((S.Settings(), True), (S.Settings(depth=5, least_share=1e-5), False)):
+        got = {r.doc_id: r.score for r in S.score_documents(df, settings=settings).collect()}
+        assert all((got[i] > -10) == known for i in train[:5])
+
+
+def test_shared_and_joined_runs_score_alike(spark):
+    docs = spark.createDataFrame([(t, i, "", "") for t, i in corpus()], SCHEMA)
+    found = []
+    for share in (0.0, 1e-3, 1.0):
+        rows = S.score_documents(docs, settings=S.Settings(run_share=share)).collect()
+        found.append(sorted((r.doc_id or -1, r.n_known, r.base_score, r.score) for r in rows))
+    for other in found[1:]:
+        assert all(a == pytest.approx(b) for a, b in zip(found[0], other, strict=True))
