@@ -23,20 +23,41 @@ def overlap(rows: DataFrame, key: str | Column, side: str) -> DataFrame:
     return sides.agg(F.count_if(F.col("sides") > 1).alias("overlap"), F.count("*").alias("keys"))
 
 
+#: Passages without an inner word are met by so many characters of their beginning, or by all if there are fewer.
+START = 8
+
+
 def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """(doc_id, item_id) of documents whose text contains a passage of at least three words.
+    """(doc_id, item_id) of documents whose text contains a passage.
 
     A passage's second word is a whole word of every text that contains the
-    passage, with white space on both sides. So passages meet the documents'
-    distinct words by an equi-join on the longest of their inner words, and
-    only then are texts compared. A list of passages that is small is sent to
-    all tasks, so that texts stay where they are.
+    passage, with white space on both sides. So passages of three words or
+    more meet the documents' distinct words by an equi-join on the longest of
+    their inner words, and only then are texts compared. The others, short
+    ones or those of a script without spaces, meet the texts' distinct runs of
+    characters, as long as the passage's beginning, in the same way. A list of
+    passages that is small is sent to all tasks, so that texts stay where they
+    are.
     """
     split = F.split(F.trim("text"), r"[ \t\n\r\f\x0B]+")
-    lists = passages.select("item_id", F.col("text").alias("passage"), split.alias("w")).where(F.size("w") > 2)
+    small = passages.count() <= broadcast_rows
+
+    def met(keys: DataFrame, lists: DataFrame, on: list[str]) -> DataFrame:
+        lists = F.broadcast(lists) if small else lists
+        return keys.join(lists, on).where(F.expr("contains(text, passage)")).select("doc_id", "item_id")
+
+    lists = passages.where("text is not null").select("item_id", F.col("text").alias("passage"), split.alias("w"))
     inner = F.slice("w", 2, F.size("w") - 2)
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    lists = lists.select("item_id", "passage", longest.alias("word"))
-    lists = F.broadcast(lists) if passages.count() <= broadcast_rows else lists
+    long = lists.where(F.size("w") > 2).select("item_id", "passage", longest.alias("word"))
     words = docs.select("doc_id", "text", F.explode(F.array_distinct(split)).alias("word"))
-    return words.join(lists, "word").where(F.expr("contains(text, passage)")).select("doc_id", "item_id").distinct()
+    found = met(words, long, ["word"])
+    width = F.least(F.length("passage"), F.lit(START))
+    short = lists.where(F.size("w") <= 2).select("item_id", "passage", width.alias("width"))
+    widths = [r.width for r in short.select("width").distinct().collect()]
+    if widths:
+        sized = docs.select("doc_id", "text", F.explode(F.lit(widths).cast("array<int>")).alias("width")).where("length(text) >= width")
+        runs = "array_distinct(transform(sequence(1, length(text) - width + 1), i -> substring(text, i, width)))"
+        starts = sized.select("doc_id", "text", "width", F.explode(F.expr(runs)).alias("start"))
+        found = found.unionByName(met(starts, short.withColumn("start", F.expr("left(passage, width)")), ["width", "start"]))
+    return found.distinct()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import checks, series
-from quern.operators import folds, frames, graph, quality, stats, temporal
+from quern.operators import folds, frames, graph, quality, relations, stats, temporal
 from quern.streaming import events
 
 
@@ -102,3 +102,13 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     want = {tuple(r)[:3] for r in events.windowed(rows, "ts", ["event_type"], "value", "1 day").collect()}
     # The newest window is not final yet.
     assert got and got <= want and len({w[0] for w in want - got}) <= 2
+
+
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_passages_without_inner_words_are_found(spark, broadcast_rows):
+    texts = ["one two three four", "two\u00a0three\u00a0four", "这是一个很长的段落没有空格", "", None, "zone", "a two  three"]
+    items = ["two three four", "two three", "one", "two\u00a0three\u00a0four", "一个很长的段落没有", "一个很长的段落没无", "", None, "e", "absent"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    passages = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in relations.contained_in(docs, passages, broadcast_rows).collect()}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t}
