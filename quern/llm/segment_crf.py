@@ -39,6 +39,8 @@ Span = tuple[int, int, int]  # start, end, place in KINDS
 class Settings:
     #: Documents with a digit or an at sign that the model is fitted on, those of the least hash.
     sample_docs: int = 1000
+    #: The sample ends before its texts have more bytes than this, but has one text at least.
+    sample_bytes: int = 64 << 20
     #: The longest entity, in atoms, and for numbers in groups of digits and digits.
     longest: int = 24
     most_groups: int = 8
@@ -352,11 +354,21 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
+def sampled(docs: DataFrame, s: Settings) -> list[str]:
+    """The distinct texts of least hash, of those of (doc_id, text) that have marks."""
+    marked = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("hash"))
+    sizes = marked.groupBy("hash").agg(F.max(F.octet_length("text")).cast("long").alias("size")).orderBy("hash").limit(s.sample_docs).collect()
+    if not sizes:
+        return []
+    within = np.count_nonzero(np.cumsum([r["size"] for r in sizes]) <= s.sample_bytes)
+    last = sizes[max(1, within) - 1]["hash"]
+    rows = marked.where(F.col("hash") <= last).distinct().orderBy("hash", "text").limit(s.sample_docs).collect()
+    return [r.text for r in rows]
+
+
 def fitted(docs: DataFrame, s: Settings) -> np.ndarray:
     """A model fitted on the bounded sample of (doc_id, text)."""
-    with_marks = docs.where(F.col("text").rlike("[0-9@]")).select("text")
-    rows = with_marks.orderBy(F.xxhash64("text"), "text").limit(s.sample_docs).collect()
-    return fit([r.text for r in rows], s)
+    return fit(sampled(docs, s), s)
 
 
 def _found(weights, s: Settings) -> Callable:

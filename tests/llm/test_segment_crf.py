@@ -124,3 +124,15 @@ def test_rows(spark):
     assert [(r.text, r.n_ip) for r in out.where("doc_id = 700 and text not like '% %'").collect()] == [("<ip>", 4)] * 2
     assert out.where("text is null").count() == 1
     assert not [r for r in out.collect() if plain_base(r.text or "")]
+
+
+def test_copies_take_one_place_of_the_sample(spark):
+    texts = [f"text number {i}" for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts * 2)] + [(99, "no marks")]
+    order = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) h").orderBy("h").collect()]
+    rows += [(100 + i, order[0]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert P.sampled(docs, P.Settings(sample_docs=10)) == order[:10]
+    assert P.sampled(docs, P.Settings(sample_docs=10, sample_bytes=3 * 14)) == order[:3]
+    assert P.sampled(docs, P.Settings(sample_bytes=1)) == order[:1]
+    assert P.sampled(docs.where("doc_id = 99"), P.Settings()) == []
