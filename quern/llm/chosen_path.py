@@ -53,8 +53,9 @@ class Settings:
     bucket: int = 256
     branches: int = 2
     depth: int = 3
-    #: Texts in one side of a block that is compared in one task.
-    block: int = 256
+    #: Texts in one side of a block that is compared in one task, and their bytes where texts are long.
+    block: int = 1024
+    block_bytes: int = 4 << 20
     #: A list of at most so many digests is sent to every executor; a longer one is joined by a shuffle.
     broadcast_rows: int = 500_000
     seed: int = 11
@@ -114,7 +115,7 @@ def _sampled(settings: Settings) -> Callable:
     rng = np.random.default_rng(settings.seed)
     factors = rng.integers(0, 1 << 63, settings.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = rng.integers(0, 1 << 63, settings.samples, dtype=np.uint64)
-    schema = pa.schema([("tid", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("tid", pa.binary()), ("size", pa.int64()), ("sig", pa.list_(pa.int32()))])
 
     def sketch(values: list[np.ndarray]) -> np.ndarray:
         starts = np.cumsum([0, *map(len, values[:-1])])
@@ -129,27 +130,29 @@ def _sampled(settings: Settings) -> Callable:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
 
-        def made(tids: list, values: list) -> pa.RecordBatch:
+        def made(tids: list, sizes: list, values: list) -> pa.RecordBatch:
             flat = pa.array(sketch(values).ravel())
             offsets = pa.array(np.arange(len(tids) + 1, dtype=np.int32) * settings.samples)
-            return pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
+            columns = [pa.array(tids, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in source:
-            tids, values, size = [], [], 0
+            tids, sizes, values, size = [], [], [], 0
             for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if tid in seen:
                     continue
                 if len(seen) < 100_000:
                     seen.add(tid)
                 tids.append(tid)
+                sizes.append(len(text))
                 values.append(shingles(text, settings.words))
                 size += len(values[-1])
                 # Few enough values that they stay in the processor's cache while they are sampled.
                 if size > 1 << 15:
-                    yield made(tids, values)
-                    tids, values, size = [], [], 0
+                    yield made(tids, sizes, values)
+                    tids, sizes, values, size = [], [], [], 0
             if tids:
-                yield made(tids, values)
+                yield made(tids, sizes, values)
 
     return run
 
@@ -382,6 +385,28 @@ def components(edges: DataFrame, in_one_task: int = 500_000) -> DataFrame:
     return checkpointed(pairs.unionByName(pairs.select(F.col("comp").alias("node"), "comp")).distinct())
 
 
+#: How many parts the rows of one key are dealt to.
+SALTS = 64
+
+
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with a salt, so that those of a very frequent key are worked on in many tasks."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def counted(rows: DataFrame, key: str, of: str) -> DataFrame:
+    """(key, n, low, high, salts) of dealt rows: how many a key has, the least and greatest ``of``, and its salts."""
+    parts = rows.groupBy(key, "salt").agg(F.count("*").alias("n"), F.min(of).alias("low"), F.max(of).alias("high"))
+    return parts.groupBy(key).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("salt").alias("salts")
+    )
+
+
+def told(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Dealt rows with what is known of their key, which is repeated for the salts that it has, and no others."""
+    return rows.join(known.withColumn("salt", F.explode("salts")).drop("salts"), [key, "salt"]).drop("salt")
+
+
 class Join:
     """The steps of the join over one table of documents."""
 
@@ -398,16 +423,16 @@ class Join:
         return self.base.select("tid", "text").join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
 
     def sketches(self) -> DataFrame:
-        rows = self.base.select("tid", "text").mapInArrow(_sampled(self.s), "tid binary, sig array<int>")
-        return checkpointed(rows.groupBy("tid").agg(F.first("sig").alias("sig")))
+        rows = self.base.select("tid", "text").mapInArrow(_sampled(self.s), "tid binary, size long, sig array<int>")
+        return checkpointed(rows.groupBy("tid").agg(F.first("size").alias("size"), F.first("sig").alias("sig")))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that have the similarity; a text with many partners is sent to many tasks."""
         pairs = checkpointed(pairs)
         texts = checkpointed(self.texts(checkpointed(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct())))
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts"))
-        items = pairs.join(parts, "a").select(
-            "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b"
+        salted = dealt(pairs, "b")
+        items = told(salted, counted(salted, "a", "b"), "a").select(
+            "a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 64)).cast("int").alias("part"), "b"
         )
         heads = items.select("a", "part").distinct().withColumn("b", F.lit(None).cast("binary"))
         text_a, text_b = texts.withColumnRenamed("tid", "a"), texts.withColumnRenamed("tid", "b")
@@ -426,16 +451,18 @@ class Join:
     def first_buckets(self, sketches: DataFrame) -> DataFrame:
         """(run, key, tid, n, pivot) of the buckets with at least two texts."""
         keys = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), self.sample(r)).alias("key")) for r in range(self.s.runs)])
-        members = sketches.select("tid", F.inline(keys))
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("pivot")).where("n > 1")
-        return checkpointed(members.join(sizes, "key"))
+        members = dealt(sketches.select("tid", F.inline(keys)), "tid")
+        sizes = counted(members, "key", "tid").where("n > 1").select("key", "n", F.col("low").alias("pivot"), "salts")
+        return checkpointed(told(members, sizes, "key"))
 
     def agreeing(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs whose sketches agree often enough."""
         a = sketches.select(F.col("tid").alias("a"), F.col("sig").alias("sig_a"))
         b = sketches.select(F.col("tid").alias("b"), F.col("sig").alias("sig_b"))
         same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-        return pairs.join(a, "a").join(b, "b").where(same >= self.s.agreeing).select("a", "b")
+        salted = dealt(pairs, "b")
+        heads = salted.groupBy("a", "salt").count().join(a, "a").drop("count")
+        return salted.join(heads, ["a", "salt"]).drop("salt").join(b, "b").where(same >= self.s.agreeing).select("a", "b")
 
     def compared(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
         """Of bounded buckets (key, tid, comp, cluster), the rows (key, tid, comp) that can have a link to look for."""
@@ -454,8 +481,12 @@ class Join:
         )
 
     def blocks(self, rows: DataFrame, by: str) -> DataFrame:
-        """(key, side, tid, ...) of blocks: the rows (by, n, tid, ...) of each key in parts, every part with itself and every other."""
-        parts = F.ceil(F.col("n") / self.s.block).cast("int")
+        """(key, side, tid, ...) of blocks: the rows (by, n, bytes, tid, ...) of each key in parts, every part with itself and every other.
+
+        A text is sent to as many blocks as its key has parts, so parts are as
+        large as a task can hold.
+        """
+        parts = F.ceil(F.greatest(F.col("n") / self.s.block, F.col("bytes") / self.s.block_bytes)).cast("int")
         own = F.pmod(F.xxhash64("tid"), "parts").cast("int")
         low, high = F.least("own", "other"), F.greatest("own", "other")
         return (
@@ -464,7 +495,7 @@ class Join:
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
             .withColumn("key", F.xxhash64(by, low, high))
-            .drop("parts", "own", "other", "n")
+            .drop("parts", "own", "other", "n", "bytes")
         )
 
     def split(self, buckets: DataFrame, comps: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -479,8 +510,8 @@ class Join:
             "run", "key", "tid", F.coalesce("comp", "tid").alias("comp"), F.lit(1 << 62).alias("above")
         )
         for level in range(s.depth + 1):
-            sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-            mixed = checkpointed(rows.join(sizes.where("c0 < c1").select("key", "n"), "key"))
+            rows = dealt(rows, "tid")
+            mixed = checkpointed(told(rows, counted(rows, "key", "comp").where("low < high").select("key", "n", "salts"), "key"))
             done = F.lit(True) if level == s.depth else F.col("n") * 2 > F.col("above")
             large = mixed.where(F.col("n") > s.bucket)
             own, alike = (x.select("key", "tid", "comp") for x in (mixed.where(F.col("n") <= s.bucket), large.where(done)))
@@ -514,15 +545,20 @@ class Join:
         known = clusters.join(comps.withColumnRenamed("node", "tid"), "tid", "left").select(
             "tid", "cluster", F.coalesce("comp", "tid").alias("comp")
         )
-        sizes = known.groupBy("cluster").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        mixed = known.join(sizes.where("c0 < c1").select("cluster", "n"), "cluster")
+        known = dealt(known.join(sketches.select("tid", "size"), "tid"), "tid")
+        sizes = counted(known, "cluster", "comp").where("low < high").select("cluster", "n", "salts")
+        mixed = told(known, sizes.join(self.bytes_of(known, "cluster"), "cluster"), "cluster").drop("size")
         in_blocks = self.blocks(mixed, "cluster").select("key", "side", "tid", "comp")
         marked = small.join(clusters, "tid", "left").withColumn("cluster", F.coalesce("cluster", "tid"))
         in_buckets = self.compared(marked, sketches).select("key", F.lit(0).alias("side"), "tid", "comp")
         return self.exact(in_blocks.unionByName(in_buckets))
 
+    def bytes_of(self, rows: DataFrame, key: str) -> DataFrame:
+        """(key, bytes) of the texts of rows (key, size)."""
+        return rows.groupBy(key).agg(F.sum("size").alias("bytes"))
+
     def classes(self) -> DataFrame:
-        """(tid, comp) of the texts that are linked to another."""
+        """(tid, size, comp) of the texts that are linked to another."""
         sketches = self.sketches()
         buckets = self.first_buckets(sketches)
         pivots = buckets.where("tid <> pivot").select(F.col("pivot").alias("a"), F.col("tid").alias("b")).distinct()
@@ -531,22 +567,23 @@ class Join:
         more = self.joined(comps, *self.split(buckets, comps, sketches), sketches)
         if not more.isEmpty():
             comps = components(links.unionByName(more))
-        return comps.select(F.col("node").alias("tid"), "comp")
+        return sketches.select("tid", "size").join(comps.withColumnRenamed("node", "tid"), "tid")
 
     def links(self, classes: DataFrame) -> DataFrame:
         """(tid, links): the other texts that each text is linked to."""
-        sizes = classes.groupBy("comp").agg(F.count("*").alias("n"))
-        rows = classes.join(sizes, "comp")
+        salted = dealt(classes, "tid")
+        sizes = counted(salted, "comp", "tid").select("comp", "n", "salts").join(self.bytes_of(classes, "comp"), "comp")
+        rows = told(salted, sizes, "comp").drop("size")
         keyed = self.blocks(rows, "comp").select("key", "side", "tid")
         texts = self.texts(classes.select("tid"))
-        counted = (
+        found = (
             keyed.join(texts, "tid")
             .select("key", "side", "tid", "text")
             .repartition("key")
             .sortWithinPartitions("key", "side", "tid")
             .mapInArrow(_count_links(self.s), "tid binary, links long")
         )
-        return counted.groupBy("tid").agg(F.sum("links").alias("links"))
+        return found.groupBy("tid").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(
@@ -567,18 +604,23 @@ def near_duplicates(
     time it is read, as files do.
     """
     join = Join(docs, id_col, text_col, settings)
-    classes = join.classes()
+    classes = checkpointed(join.classes())
     links = join.links(classes)
-    ids = join.base.select("doc_id", "tid")
-    per_text = ids.groupBy("tid").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("least"))
+    # A text of very many copies, and a class of very many texts, are dealt to many tasks.
+    ids = dealt(join.base.select("doc_id", "tid"), "doc_id")
+    parts = ids.groupBy("tid", "salt").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    per_text = parts.groupBy("tid").agg(
+        F.sum("n").alias("n_copies"), F.min("least").alias("least"), F.collect_list("salt").alias("salts")
+    )
     known = checkpointed(
-        per_text.join(classes, "tid", "left")
+        per_text.join(classes.drop("size"), "tid", "left")
         .join(links, "tid", "left")
-        .select("tid", "n_copies", "least", F.coalesce("comp", "tid").alias("comp"), F.coalesce("links", F.lit(0)).alias("n_links"))
+        .select("tid", "n_copies", "least", "salts", F.coalesce("comp", "tid").alias("comp"), F.coalesce("links", F.lit(0)).alias("n_links"))
     )
-    least = known.groupBy("comp").agg(F.min("least").alias("class_id"))
-    by_text = known.join(least, "comp").select("tid", "class_id", "n_copies", F.col("n_links").cast("long"))
-    return ids.join(by_text, "tid").select("doc_id", "class_id", "n_copies", "n_links")
+    members = dealt(known.withColumnRenamed("salts", "own_salts"), "tid")
+    least = counted(members, "comp", "least").select("comp", F.col("low").alias("class_id"), "salts")
+    by_text = told(members, least, "comp").select("tid", "class_id", "n_copies", F.col("n_links").cast("long"), F.col("own_salts").alias("salts"))
+    return told(ids, by_text, "tid").select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def keep_one_of_each(
@@ -586,23 +628,23 @@ def keep_one_of_each(
 ) -> DataFrame:
     """``docs`` with one document of each class: of those with the least id, one with the least text digest.
 
-    Columns stay as they are. Of equal rows that would all stay, one stays.
-    Edge cases are as in :func:`near_duplicates`.
+    Columns stay as they are, whatever their names. Of rows that share id and
+    text one stays: that whose columns, written as JSON, have the least
+    digest. Edge cases are as in :func:`near_duplicates`.
     """
     join = Join(docs, id_col, text_col, settings)
-    classes = join.classes()
-    ids = join.base.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "tid")
-    per_text = ids.groupBy("tid", "doc_id").agg(F.count("*").alias("rows"))
+    classes = join.classes().select("tid", "comp")
+    last = F.lit((1 << 63) - 1)
+    ids = join.base.select(F.coalesce("doc_id", last).alias("doc"), "tid")
+    per_text = ids.groupBy("tid", "doc").agg(F.count("*").alias("rows"))
     ranked = per_text.join(classes, "tid", "left").groupBy(F.coalesce("comp", "tid").alias("comp"))
-    best = checkpointed(
-        ranked.agg(F.min(F.struct("doc_id", "tid", "rows")).alias("m")).select(
-            F.col("m.tid").alias("_tid"), F.col("m.doc_id").alias("_doc"), F.col("m.rows").alias("_rows")
-        )
-    )
-    names = docs.columns
-    rows = docs.withColumn("_tid", text_digest(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn(
-        "_doc", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    best = checkpointed(ranked.agg(F.min(F.struct("doc", "tid", "rows")).alias("m")).select("m.tid", "m.doc", "m.rows"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        text_digest(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tid"),
+        F.coalesce(F.col(id_col).cast("long"), last).alias("doc"),
     )
-    kept = rows.join(best.where("_rows = 1").select("_tid", "_doc"), ["_tid", "_doc"], "left_semi").select(names)
-    again = rows.join(best.where("_rows > 1").select("_tid", "_doc"), ["_tid", "_doc"], "left_semi")
-    return kept.unionByName(again.dropDuplicates(["_tid", "_doc"]).select(names))
+    kept = rows.join(best.where("rows = 1").select("tid", "doc"), ["tid", "doc"], "left_semi").select("row")
+    again = rows.join(best.where("rows > 1").select("tid", "doc"), ["tid", "doc"], "left_semi")
+    one = again.groupBy("tid", "doc").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row")).select("row")
+    return kept.unionByName(one).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -11,6 +11,7 @@ Hashes are made once for each record; what is shuffled are digests.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -69,35 +70,51 @@ def manifest(pages: DataFrame, content: Column, stored: Column | None = None, *,
     )
 
 
-def tree(records: DataFrame, *, span: int = SPAN, fanout: int = FANOUT, levels: int = LEVELS) -> list[DataFrame]:
-    """Nodes (volume, place, hash) of each level, from the ranges up to the roots.
+def trees(replicas: list[DataFrame], *, span: int = SPAN, fanout: int = FANOUT, levels: int = LEVELS) -> list[DataFrame]:
+    """Nodes (volume, place, hash_0, hash_1, ...) of each level, from the ranges up to the roots, of all replicas side by side.
 
-    ``records`` has volume, offset, length, copies and digest. A volume that
-    outgrows the levels has several roots. A range holds at most as many
-    records as it has bytes, and a node ``fanout`` children.
+    A replica has volume, offset, length, copies and digest; its hash is null
+    where it has nothing. A volume that outgrows the levels has several roots.
+    A range holds at most as many records as it has bytes, and a node
+    ``fanout`` children. Each level is written, so the next one, and whoever
+    compares it, starts from rows and not from the plans of all below.
     """
 
-    def hashed(parts: Column) -> Column:
-        return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(parts)), lambda x: x["text"]), "\n"), 256)
+    def hashed(part: str) -> Column:
+        parts = F.collect_list(F.when(F.col(part).isNotNull(), F.struct("at", F.col(part).alias("text"))))
+        text = F.array_join(F.transform(F.sort_array(parts), lambda x: x["text"]), "\n")
+        return F.when(F.size(parts) > 0, F.sha2(text, 256))
 
     text = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("offset", "length", "copies")], "digest")
-    place = F.expr(f"offset div {span}").alias("place")
-    nodes = records.groupBy("volume", place).agg(hashed(F.struct("offset", text.alias("text"))).alias("hash"))
-    out = [checkpointed(nodes)]
-    for _ in range(levels):
-        above = F.expr(f"place div {fanout}").alias("above")
-        text = F.concat_ws(" ", F.col("place").cast("string"), "hash")
-        up = out[-1].groupBy("volume", above).agg(hashed(F.struct("place", text.alias("text"))).alias("hash"))
-        out.append(up.withColumnRenamed("above", "place"))
+    sides = range(len(replicas))
+    nodes = reduce(
+        DataFrame.unionByName,
+        [
+            x.select(
+                "volume",
+                F.expr(f"offset div {span}").alias("place"),
+                F.col("offset").alias("at"),
+                *[(text if i == own else F.lit(None).cast("string")).alias(f"part_{i}") for i in sides],
+            )
+            for own, x in enumerate(replicas)
+        ],
+    )
+    out: list[DataFrame] = []
+    for _ in range(levels + 1):
+        out.append(checkpointed(nodes.groupBy("volume", "place").agg(*[hashed(f"part_{i}").alias(f"hash_{i}") for i in sides])))
+        place = F.col("place").cast("string")
+        nodes = out[-1].select(
+            "volume",
+            F.expr(f"place div {fanout}").alias("place"),
+            F.col("place").alias("at"),
+            *[F.when(F.col(f"hash_{i}").isNotNull(), F.concat_ws(" ", place, f"hash_{i}")).alias(f"part_{i}") for i in sides],
+        )
     return out
 
 
-def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(volume, place) of nodes that only one has, or that differ."""
-    both = a.select("volume", "place", F.col("hash").alias("hash_a")).join(
-        b.select("volume", "place", F.col("hash").alias("hash_b")), ["volume", "place"], "full"
-    )
-    return both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("volume", "place")
+def tree(records: DataFrame, **shape: int) -> list[DataFrame]:
+    """Nodes (volume, place, hash) of each level of one replica; see :func:`trees`."""
+    return [x.withColumnRenamed("hash_0", "hash") for x in trees([records], **shape)]
 
 
 def audit(a: DataFrame, b: DataFrame, *, span: int = SPAN, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
@@ -110,17 +127,13 @@ def audit(a: DataFrame, b: DataFrame, *, span: int = SPAN, fanout: int = FANOUT,
     whole volume may be missing. Rows with a null volume are a volume.
     """
     a, b = (x.withColumn("volume", F.coalesce("volume", F.lit("(none)"))) for x in (a, b))
-    own, other = (tree(x, span=span, fanout=fanout, levels=levels) for x in (a, b))
-    bad = _differing(own[-1], other[-1])
-    for level in range(levels - 1, -1, -1):
-        below = [
-            x[level].withColumn("above", F.expr(f"place div {fanout}")).join(
-                bad.select("volume", F.col("place").alias("above")), ["volume", "above"], "left_semi"
-            )
-            for x in (own, other)
-        ]
-        bad = _differing(*below)
-    bad = checkpointed(bad)
+    made = trees([a, b], span=span, fanout=fanout, levels=levels)
+    differ = ~F.col("hash_0").eqNullSafe(F.col("hash_1"))
+    bad = checkpointed(made[-1].where(differ).select("volume", "place"))
+    for level in made[-2::-1]:
+        above = bad.select("volume", F.col("place").alias("above"))
+        below = level.where(differ).withColumn("above", F.expr(f"place div {fanout}"))
+        bad = checkpointed(below.join(above, ["volume", "above"], "left_semi").select("volume", "place"))
     inside = [
         x.withColumn("place", F.expr(f"offset div {span}"))
         .join(bad, ["volume", "place"], "left_semi")
@@ -129,12 +142,9 @@ def audit(a: DataFrame, b: DataFrame, *, span: int = SPAN, fanout: int = FANOUT,
     ]
     found = inside[0].join(inside[1], ["volume", "offset"], "full").where(~F.col("x").eqNullSafe(F.col("y")))
     kind = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("changed")
-    roots = [
-        x[-1].where("place = 0").select("volume", F.col("hash").alias(name)) for x, name in ((own, "root"), (other, "replica_root"))
-    ]
+    roots = made[-1].where("place = 0").select("volume", F.col("hash_0").alias("root"), F.col("hash_1").alias("replica_root"))
     return (
-        found.join(roots[0], "volume", "left")
-        .join(roots[1], "volume", "left")
+        found.join(roots, "volume", "left")
         .select(
             "volume",
             "offset",
@@ -151,9 +161,13 @@ def audit(a: DataFrame, b: DataFrame, *, span: int = SPAN, fanout: int = FANOUT,
 def volume_files(records: DataFrame) -> DataFrame:
     """(volume, content) of records (volume, offset, content as binary): each volume's bytes in the order of offsets.
 
-    For volumes of bounded size, as files are.
+    For volumes of bounded size, as files are: one volume is one row. Null
+    contents count as empty; records at one offset stand in the order of their
+    bytes, repeated ones each. A null volume is a volume; an empty table gives
+    no rows.
     """
-    parts = F.sort_array(F.collect_list(F.struct("offset", "content")))
+    content = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
+    parts = F.sort_array(F.collect_list(F.struct("offset", content.alias("content"))))
     content = F.expr("aggregate(parts, cast('' as binary), (x, p) -> concat(x, p.content))")
     return records.groupBy("volume").agg(parts.alias("parts")).select("volume", content.alias("content"))
 
@@ -174,7 +188,13 @@ def parse(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def read_records(volumes: DataFrame) -> DataFrame:
-    """(volume, offset, content) of the records in volumes (volume, content)."""
+    """(volume, offset, content) of the records in volumes (volume, content).
+
+    Null and empty contents have no records. Repeated volumes each give their
+    records; a null volume stays null. What can't be read is the end of the
+    record before it, or one record of the whole. Other columns are not
+    looked at.
+    """
     schema = pa.schema([("volume", pa.string()), ("offset", pa.int64()), ("content", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

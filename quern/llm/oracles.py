@@ -60,13 +60,13 @@ WHERE (a.length, a.copies, a.digest) IS DISTINCT FROM (b.length, b.copies, b.dig
 URL_LISTS = r"""
 WITH c AS (
   SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url,
-      '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+      '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)', 1)), '\.+$', ''), '') AS host,
     DATE '2024-01-01' + ((page_id * 37) % 365)::INT AS fetch_date
   FROM pages
 ), h AS (SELECT DISTINCT host AS key, string_split(host, '.') AS labels FROM c WHERE host IS NOT NULL),
 up AS (
-  SELECT key AS host, i - 1 AS level, array_to_string(labels[i:], '.') AS key
-  FROM (SELECT key, labels, unnest(generate_series(1, greatest(len(labels) - 1, 1))) AS i FROM h)
+  SELECT key AS host, i - 1 AS level, CASE i WHEN 1 THEN key ELSE array_to_string(labels[i:], '.') END AS key
+  FROM (SELECT key, labels, unnest(generate_series(1, CASE WHEN regexp_matches(key, '^(\[.*|[0-9]+(\.[0-9]+){3})$') THEN 1 ELSE greatest(len(labels) - 1, 1) END)) AS i FROM h)
 ), tops AS (SELECT DISTINCT arg_max(key, level) AS key FROM up GROUP BY host),
 k AS (
   SELECT key, unnest([1, 2, 3]) AS place FROM h UNION ALL SELECT key, unnest([11, 12]) FROM tops

@@ -95,7 +95,8 @@ def base_spans(text: str) -> list[Span]:
     out = [(a, b, 0) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            parts = [p.lstrip("0") or "0" for p in m.group().split(".")]
+            if all(len(p) <= 3 and int(p) <= 255 for p in parts):
                 out.append((*m.span(), 1))
         for m in _CARD.finditer(text):
             digits = only_digits(m.group())

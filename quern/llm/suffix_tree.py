@@ -210,7 +210,7 @@ def _tally(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[edges], *(np.add.reduceat(n[by], edges) for n in numbers)
 
 
-def _count_grams(settings: Settings, at_most: int = 3_000_000) -> Callable:
+def _count_grams(settings: Settings, at_most: int = 2_000_000) -> Callable:
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("seen", pa.int64())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ from quern.llm.common import batches
 RATE = 8000
 BLOCK = 576
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
+#: Bits of a sample in each of them.
+BITS = {PCM: 16, ALAW: 8, MULAW: 8, IMA: 4}
 
 # Fixed values of the IMA ADPCM format: how the step index moves for each
 # magnitude, and the quantizer's 89 step sizes.
@@ -109,6 +111,11 @@ def resample(pcm: np.ndarray, factor: int) -> np.ndarray:
     return out.ravel()
 
 
+def stored_pcm(pcm: np.ndarray, factor: int, rate: int) -> bytes:
+    """A WAV file of 16-bit samples: these, resampled."""
+    return wav(resample(pcm, factor).astype("<i2").tobytes(), PCM, rate * factor)
+
+
 def wav(data: bytes, codec: int, rate: int = RATE, block: int = 1) -> bytes:
     """A WAV file of one channel: these bytes, as 8-bit codes, ADPCM blocks or 16-bit samples."""
     bits, align, per = {PCM: (16, 2, 1), IMA: (4, block, 2 * (block - 4) + 1)}.get(codec, (8, 1, 1))
@@ -121,7 +128,7 @@ def wav(data: bytes, codec: int, rate: int = RATE, block: int = 1) -> bytes:
 
 
 def read_wav(file: bytes) -> tuple[int, int, int, bytes]:
-    """(codec, rate, block size, stored bytes) of a WAV file of one channel."""
+    """(codec, rate, block size, stored bytes) of a WAV file of one channel whose samples have the bits that its codec has here."""
     if file[:4] != b"RIFF" or file[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, form, data = 12, None, None
@@ -134,6 +141,8 @@ def read_wav(file: bytes) -> tuple[int, int, int, bytes]:
         at += 8 + size + size % 2
     if form is None or data is None or form[1] != 1:
         raise ValueError("not a WAV file of one channel")
+    if form[5] != BITS.get(form[0]):
+        raise ValueError("samples of another size than the codec's")
     return form[0], form[2], form[4], data
 
 
@@ -171,8 +180,7 @@ def _resampled(factor: int) -> Callable:
             for media_id, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     codec, rate, block, data = read_wav(file or b"")
-                    pcm = resample(decode(codec, data, block), factor)
-                    row = (media_id, codec, rate * factor, wav(pcm.astype("<i2").tobytes(), PCM, rate * factor))
+                    row = (media_id, codec, rate * factor, stored_pcm(decode(codec, data, block), factor, rate))
                 except (ValueError, KeyError, struct.error):
                     row = (media_id, None, None, None)
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
@@ -212,8 +220,9 @@ def _stored(factor: int) -> Callable:
                 at += len(data)
                 parts = []
                 for name, stream in zip(("mulaw", "alaw", "adpcm"), streams, strict=True):
-                    pcm = resample(stream, factor)
-                    parts.append(":".join(map(str, (name, RATE * factor, len(pcm), *loudness(pcm), zlib.crc32(pcm.astype("<i2").tobytes())))))
+                    _, rate, _, kept = read_wav(stored_pcm(stream, factor, RATE))
+                    pcm = decode(PCM, kept)
+                    parts.append(":".join(map(str, (name, rate, len(pcm), *loudness(pcm), zlib.crc32(kept)))))
                 digest = hashlib.sha256(data).hexdigest()
                 media = hashlib.sha256(file).hexdigest()
                 rows.append((doc_id, len(text), len(data), digest, zlib.crc32(data[-32:]), len(file), media, ";".join(parts)))
@@ -229,8 +238,8 @@ def text_as_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature. The feature has, for the stored codes
-    taken as mu-law, as A-law and as ADPCM blocks, and resampled: name, rate,
-    samples, root mean square, peak, changes of sign, and the samples' CRC.
+    taken as mu-law, as A-law and as ADPCM blocks, resampled, stored as 16-bit
+    PCM in a WAV file and read back: name, rate, samples, root mean square, peak, changes of sign, and the samples' CRC.
     All are whole numbers, so equal texts have equal values.
 
     Null and empty texts give one unit of padding. Repeated rows and null ids

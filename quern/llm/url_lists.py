@@ -5,10 +5,10 @@ and the domains above them. Every capture looks up its host and all domains
 above it with two labels at least, each as of the time of the fetch; the most
 specific entry that is active decides.
 
-Only DataFrame functions are used. An interval is repeated for each month that
-it touches and for each salt, so captures meet it by an equi-join on key,
-month and salt, and a key with very many captures is dealt to many tasks.
-Intervals of a key don't overlap, so a lookup finds one at most.
+Only DataFrame functions are used. Lookups and entries of a key stand in one
+order of days, and each lookup takes the last entry before it; so the list is
+never multiplied by time. A key with very many captures is dealt to salts, and
+a key's entries, one a day at most, are repeated for the salts that it has.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How many parts the captures of a key and month are dealt to.
-SALTS = 16
+#: How many parts the captures of a key are dealt to at most.
+SALTS = 64
 #: The end of intervals that nothing ends.
 FOREVER = "9999-12-31"
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)"
+#: Hosts that are addresses: they have no domains above them.
+ADDRESS = r"^(\[.*|[0-9]+(\.[0-9]+){3})$"
 
 
 def host(url: Column) -> Column:
@@ -31,11 +33,12 @@ def host(url: Column) -> Column:
 
 
 def domains(name: Column) -> Column:
-    """A host and the domains above it with two labels at least, the most specific first."""
+    """A host and the domains above it with two labels at least, the most specific first; of an address, itself alone."""
     labels = F.split(name, r"\.")
     n = F.size(labels)
     above = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    return F.when(name.isNull(), F.array().cast("array<string>")).otherwise(above)
+    none = F.array().cast("array<string>")
+    return F.when(name.isNull(), none).when(name.rlike(ADDRESS), F.array(name)).otherwise(above)
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -54,10 +57,6 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return spans.where("action <> 'remove'").select("key", "action", "since", "until")
 
 
-def _month(day: Column) -> Column:
-    return F.year(day) * 12 + F.month(day) - 1
-
-
 def judge_captures(
     captures: DataFrame,
     entries: DataFrame,
@@ -79,25 +78,23 @@ def judge_captures(
     rows = captures.select(*kept, host(F.col(url_col)).alias("host"), F.col(date_col).cast("date").alias("fetch_date"))
     rows = rows.withColumn("row_id", F.monotonically_increasing_id())
     looked = rows.select("*", F.posexplode_outer(domains(F.col("host"))).alias("level", "key")).select(
-        "*", _month(F.col("fetch_date")).alias("month"), F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int").alias("salt")
-    )
-    dates = rows.agg(F.min("fetch_date").alias("first"), F.max("fetch_date").alias("last"))
-    spans = validity_intervals(entries).join(F.broadcast(dates), (F.col("since") <= F.col("last")) & (F.col("until") > F.col("first")))
-    touched = F.sequence(
-        _month(F.greatest("since", "first")), _month(F.least(F.date_sub("until", 1), F.col("last")))
-    )
-    lists = (
-        spans.select("key", "action", "since", "until", F.explode(touched).alias("month"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        .select(F.col("key").alias("k"), F.col("month").alias("m"), F.col("salt").alias("s"), "action", "since", "until")
+        "*", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int").alias("salt")
     )
-    same = (F.col("key") == F.col("k")) & (F.col("month") == F.col("m")) & (F.col("salt") == F.col("s"))
-    active = (F.col("since") <= F.col("fetch_date")) & (F.col("fetch_date") < F.col("until"))
+    dates = rows.agg(F.max("fetch_date").alias("last"))
+    spans = validity_intervals(entries).join(F.broadcast(dates), F.col("since") <= F.col("last")).drop("last")
+    slots = looked.where("key is not null").select("key", "salt").distinct()
+    entry = F.struct("action", "since", "until")
+    lists = spans.join(slots, "key").select("key", "salt", F.col("since").alias("day"), entry.alias("entry"))
+    both = looked.withColumn("day", F.col("fetch_date")).unionByName(lists, allowMissingColumns=True)
+    # Of one day, the entry comes first. A lookup without a key stands alone with its like, by its salt.
+    upto = Window.partitionBy("key", "salt").orderBy("day", F.col("entry").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("entry", F.last("entry", ignorenulls=True).over(upto)).where("row_id is not null")
+    active = F.col("key").isNotNull() & (F.col("entry.since") <= F.col("fetch_date")) & (F.col("fetch_date") < F.col("entry.until"))
+    looked = found.select("*", *[F.when(active, F.col(f"entry.{c}")).alias(c) for c in ("action", "since")]).drop("entry")
     hit = F.when(F.col("action").isNotNull(), F.struct(-F.col("level"), "action", "key", "since"))
     firsts = [F.first(c).alias(c) for c in ("host", "fetch_date", *(f"keep_{i}" for i in range(len(keep))))]
     return (
-        looked.join(lists, same & active, "left")
-        .groupBy("row_id")
+        looked.groupBy("row_id")
         .agg(*firsts, F.max(hit).alias("hit"))
         .select(
             *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],

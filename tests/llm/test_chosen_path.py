@@ -11,6 +11,8 @@ from quern.llm import chosen_path as C
 from quern.llm.common import WORD
 
 SMALL = C.Settings(bucket=6, block=4, samples=32)
+#: Parts by bytes, and every list of digests joined by a shuffle.
+SHUFFLED = C.Settings(bucket=6, block=50, block_bytes=2000, samples=32, broadcast_rows=0)
 
 
 def plain_set(text):
@@ -54,18 +56,50 @@ def made(seed, groups, size, shared):
     return docs
 
 
-def test_classes_and_links_equal_brute_force(spark):
+@pytest.mark.parametrize("chosen", [SMALL, SHUFFLED])
+def test_classes_and_links_equal_brute_force(spark, chosen):
     docs = made(1, 25, 40, 30)
     docs += [(1000 + i, t) for i, t in enumerate(["", None, " \n", "a b", "a  b", "a b c"])] + docs[:8] + [(None, docs[3][1]), (None, "only null")]
     df = spark.createDataFrame([(t, i, "x", "y") for i, t in docs], "text string, doc_id long, tid string, key string")
-    out = C.near_duplicates(df, settings=SMALL)
+    out = C.near_duplicates(df, settings=chosen)
     assert Counter(map(tuple, out.collect())) == plain(docs)
-    kept = C.keep_one_of_each(df, settings=SMALL)
+    kept = C.keep_one_of_each(df, settings=chosen)
     assert kept.columns == df.columns
     classes = Counter(plain(docs).keys())
     assert kept.count() == len({c for _, c, _, _ in classes if c is not None}) + 1
 
 
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c", "t1", 5.5, True, [1]), (2, "a b c", "t2", 6.5, False, []), (3, "x y", None, None, None, None)]
+    rows += [(3, "x y", "t3", 1.0, None, [2]), (3, "x y", "t0", 1.0, None, [2]), (None, None, "n", 0.0, None, None)]
+    schema = "doc_id long, text string, `_tid` string, `_doc` double, `_rows` boolean, `row` array<int>"
+    names = {"_tid": "tid", "_doc": "doc", "_rows": "rows", "row": "comp"}
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame(rows, schema).withColumnsRenamed(names)):
+        out = C.keep_one_of_each(df.repartition(3), settings=SMALL)
+        assert out.schema == df.schema
+        got = sorted(map(tuple, out.collect()), key=str)
+        assert got in ([x for x in sorted(rows, key=str) if x[2] in ("t1", "n", want)] for want in ("t0", "t3", None))
+        # Of rows with the same id and text the same one stays, however they are dealt.
+        assert sorted(map(tuple, C.keep_one_of_each(df.coalesce(1), settings=SMALL).collect()), key=str) == got
+
+
+def test_recall_at_production_settings(spark):
+    """1,500 pairs at 86 of 106 shingles (0.811), and 1,500 at 85 of 107 (0.794): all of the former and none of the latter."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    docs = []
+    for i in range(3000):
+        text = [word() for _ in range(100)]
+        k = 10 + i % 2
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:-k] + [word() for _ in range(k)]))]
+    out = C.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    found = Counter((r.doc_id // 2 % 2, r.n_links) for r in out.collect())
+    assert found[1, 0] == 3000 and set(found) <= {(1, 0), (0, 1), (0, 0)}
+    recall = found[0, 1] / 3000
+    print(f"recall {recall}")
+    assert recall >= 0.999
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "text string, doc_id long")
     assert C.near_duplicates(df).count() == C.keep_one_of_each(df).count() == 0

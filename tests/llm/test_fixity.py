@@ -85,3 +85,31 @@ def test_files_round_trip(spark):
     read = X.read_records(files).select("volume", "offset", F.sha2("content", 256).alias("digest"))
     assert sorted(map(tuple, read.collect())) == sorted((r.volume, r.offset, r.digest) for r in made.collect())
     assert list(X.parse(b"junk")) == [(0, b"junk")]
+
+
+def test_production_levels_over_many_partitions(spark):
+    rng = random.Random(4)
+    a = []
+    for v in range(12):
+        at = 0
+        for _ in range(40):
+            n = rng.randint(1, 60_000)
+            a.append((f"v{v}", at, n, 1, f"{rng.random()}"))
+            at += n
+    b = [(*r[:4], "other") if i in (5, 200) else r for i, r in enumerate(a) if i != 100]
+    out = X.audit(manifest_of(spark, a).repartition(50), manifest_of(spark, b).repartition(37))
+    assert sorted((r.volume, r.offset, r.kind) for r in out.collect()) == sorted(
+        [(*a[5][:2], "changed"), (*a[200][:2], "changed"), (*a[100][:2], "missing")]
+    )
+    # The plan of the result does not hold the trees below it.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    tree = X.tree(manifest_of(spark, a), span=X.SPAN, fanout=X.FANOUT, levels=X.LEVELS)
+    assert tree[-1].where("volume = 'v3'").first().hash == plain_root([r for r in a if r[0] == "v3"], X.SPAN, X.FANOUT, X.LEVELS)
+
+
+def test_volumes_of_nulls_and_repeats(spark):
+    rows = [("v", 0, bytearray(b"b")), ("v", 0, bytearray(b"a")), ("v", 1, None), (None, 0, bytearray(b"z")), ("v", 0, bytearray(b"a"))]
+    df = spark.createDataFrame(rows, "volume string, offset long, content binary")
+    got = {r.volume: bytes(r.content) for r in X.volume_files(df).collect()}
+    assert got == {"v": b"aab", None: b"z"}
+    assert X.volume_files(df.limit(0)).count() == X.read_records(X.volume_files(df.limit(0))).count() == 0

@@ -18,7 +18,7 @@ def plain_base(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append((*m.span(), 0))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        if all(re.fullmatch("0*([0-9]{1,3})", p) and int(p[-3:]) <= 255 for p in m.group().split(".")):
             out.append((*m.span(), 1))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = [int(c) for c in re.sub(r"[^0-9]", "", m.group())]
@@ -136,3 +136,30 @@ def test_copies_take_one_place_of_the_sample(spark):
     assert P.sampled(docs, P.Settings(sample_docs=10, sample_bytes=3 * 14)) == order[:3]
     assert P.sampled(docs, P.Settings(sample_bytes=1)) == order[:1]
     assert P.sampled(docs.where("doc_id = 99"), P.Settings()) == []
+
+
+def test_very_long_runs_of_digits():
+    none = np.zeros(SET.features + 1)
+    for zeros in (5_000, 100_000):
+        text = "x " + "0" * zeros + ".1.2.3"
+        assert P.base_spans(text) == plain_base(text) == [(2, len(text), 1)]
+        assert P.find(text, none, SET)[0] == [(2, len(text), 1)]
+        assert P.find("9" * zeros + ".1.2.3", none, SET)[0] == []
+
+
+def test_added_spans_of_held_out_texts():
+    """Made texts with labels: forms that the patterns miss are found, and numbers that are nothing are left."""
+    weights = P.fit(sample(200, 1), SET)
+    rng, hits, wrong = random.Random(11), {2: 0, 3: 0}, 0
+    num = lambda n: "".join(rng.choices("123456789", k=n))
+    for _ in range(100):
+        card = "4" + num(14)
+        card += next(c for c in "0123456789" if P.luhn(card + c))
+        dotted = ".".join(card[i : i + 4] for i in range(0, 16, 4))
+        phone = f"{num(3)}-555-{num(4)}"
+        for kind, own in ((2, dotted), (3, phone)):
+            text = f"abcde fghij {own} hijab"
+            hits[kind] += P.find(text, weights, SET)[1] == [(12, 12 + len(own), kind)]
+        for clean in (f"order {num(5)} of {num(4)}", f"in {num(4)} there were {num(2)}", f"version {num(1)}.{num(2)}.{num(1)} is out"):
+            wrong += len(P.find(clean, weights, SET)[1])
+    assert min(hits.values()) >= 90 and wrong <= 6, (hits, wrong)

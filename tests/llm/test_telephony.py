@@ -79,3 +79,15 @@ def test_resample_media(spark):
     assert (codec, rate, out[1].codec) == (T.PCM, 16000, T.IMA)
     assert np.array_equal(np.frombuffer(pcm, dtype="<i2"), T.resample(T.decode(T.IMA, data), 2))
     assert out[2].codec == T.ALAW and out[3].pcm is None and out[4].pcm is None
+
+
+def test_files_of_other_sample_sizes_give_nulls(spark):
+    import struct
+
+    good = T.wav(bytes(range(200)), T.PCM)
+    at = good.index(b"fmt ") + 8 + 14
+    bad = good[:at] + struct.pack("<H", 8) + good[at + 2 :]
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(bad)), (3, None)], "media_id long, media binary")
+    rows = {r.media_id: r for r in T.resample_media(df).collect()}
+    assert T.read_wav(bytes(rows[1].pcm))[1] == 16000
+    assert [tuple(rows[i])[1:] for i in (2, 3)] == [(None, None, None)] * 2
