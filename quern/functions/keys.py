@@ -58,11 +58,6 @@ def cache_key(key: Column) -> Column:
     return F.substring(F.sha1(key.cast("binary")), 1, 16)
 
 
-def fps(video: Column, info: Column, fallback: float = 6.0) -> Column:
-    """The first rate that is given and not zero."""
-    return F.coalesce(F.nullif(video, F.lit(0.0)), F.nullif(info, F.lit(0.0)), F.lit(fallback))
-
-
 def path_tokens(path: Column) -> Column:
     """Lower-case text with every run of other characters than letters and digits as one underscore."""
     return F.regexp_replace(F.lower(path), "[^a-z0-9]+", "_")
@@ -72,14 +67,17 @@ def is_sha256(text: Column) -> Column:
     return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
 
 
-def forbidden_path(path: Column, root: str, parts: tuple[str, ...]) -> Column:
-    """Whether a path leaves its root or has a part of these names."""
-    pieces = F.split(path, "/")
-    return ~path.startswith(root) | F.exists(pieces, lambda p: (p == "..") | p.isin(*parts))
+def lines_digest(lines: Column) -> Column:
+    """Digest of an array of lines, each with a line feed behind it."""
+    return F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256)
 
 
-def is_wrist_camera(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"^observation\.(images\.)?", "")).rlike("wrist|gripper|arm")
+def nul_digest(name: Column, hashes: Column) -> Column:
+    """Digest of names and their hashes, each with a zero byte behind it: of arrays of equal length, the hashes arrays of strings."""
+    zero = F.lit(b"\x00")
+    put = lambda acc, x: F.concat(acc, x.cast("binary"), zero)
+    pairs = F.arrays_zip(name.alias("n"), hashes.alias("h"))
+    return F.sha2(F.aggregate(pairs, F.lit(b""), lambda acc, p: F.aggregate(p["h"], put(acc, p["n"]), put)), 256)
 
 
 def duration(seconds: Column) -> Column:

@@ -30,6 +30,44 @@ def resample_half_up(wanted: int, fps: Column, target: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: half_up(i * fps / target))
 
 
+def source_offsets(wanted: int, fps: Column, target: Column) -> Column:
+    """As :func:`resample_half_up`; a source slower than the target, and a repeated index, raise an error."""
+    at = resample_half_up(wanted, fps, target)
+    slow = F.raise_error(F.lit("the source is slower than the target rate"))
+    twice = F.raise_error(F.lit("a frame would be taken twice"))
+    return F.when(~(fps > 0) | ~(target > 0) | (fps + 1e-9 < target), slow).when(~is_increasing(at), twice).otherwise(at)
+
+
+def native_stride(stride: int, fps: Column, target: Column) -> Column:
+    """A stride in target frames as frames of the source, one at least."""
+    return F.greatest(half_up(F.lit(stride) * fps / target), F.lit(1).cast("long"))
+
+
+def eval_window(values: Column, steps: int = 16) -> Column:
+    """The first steps of an array, its last element repeated where it is shorter."""
+    last = F.size(values) - 1
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.get(values, F.least(i, last)))
+
+
+def causal_split(values: Column, steps: int = 16) -> tuple[Column, Column]:
+    """What a window may see, all its steps but the last, and the last one."""
+    return F.slice(values, 1, steps - 1), F.get(values, F.lit(steps - 1))
+
+
+def selected_actions(values: Column, indices: Column, frames: Column) -> Column:
+    """Values at indices held within the array, as many as frames with the last one repeated, and then without the last."""
+    at = lambda i: F.get(values, F.least(F.greatest(i, F.lit(0)), F.size(values) - 1))
+    chosen = F.when(F.size(indices) > 0, F.transform(indices, at)).otherwise(values)
+    chosen = F.slice(chosen, 1, frames)
+    more = F.array_repeat(F.element_at(chosen, -1), F.greatest(frames - F.size(chosen), F.lit(0)))
+    return F.slice(F.concat(chosen, more), 1, frames - 1)
+
+
+def first_frame_only(frame: Column, steps: int) -> Column:
+    """A flat clip whose first frame is this one, and whose others are zeros."""
+    return F.concat(frame, F.array_repeat(F.lit(0.0).cast("double"), F.size(frame) * (steps - 1)))
+
+
 def is_increasing(values: Column) -> Column:
     pairs = F.arrays_zip(F.slice(values, 1, F.size(values) - 1).alias("a"), F.slice(values, 2, F.size(values) - 1).alias("b"))
     return F.forall(pairs, lambda p: p["a"] < p["b"])
@@ -78,17 +116,6 @@ def second_difference(x: Column, w: WindowSpec) -> Column:
     return F.lead(x).over(w) - 2 * x + F.lag(x).over(w)
 
 
-def servo(actions: Column, first: Column, gain: float, bias: float) -> Column:
-    """States that follow the action before with a gain: s[t] = s[t-1] + gain * (a[t-1] - s[t-1]) + bias."""
-    start = F.struct(first.alias("s"), F.array(first).alias("out"))
-
-    def step(acc: Column, a: Column) -> Column:
-        s = acc["s"] + gain * (a - acc["s"]) + bias
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    return F.aggregate(F.slice(actions, 1, F.size(actions) - 1), start, step, lambda acc: acc["out"])
-
-
 def lerp(values: Column, length: int) -> Column:
     """Linear interpolation of an array to another length, ends kept."""
     span = (F.size(values) - 1) / F.lit(max(1, length - 1))
@@ -107,6 +134,24 @@ def smooth_l1(error: Column, beta: float = 1.0) -> Column:
     return F.when(e < beta, 0.5 * e * e / beta).otherwise(e - 0.5 * beta)
 
 
+def state_losses(a: Column, b: Column, steps: int, width: int, beta: float = 1.0, weights: tuple[float, float, float] = (1.0, 1.0, 0.25)) -> dict[str, Column]:
+    """Smooth errors of flat state series (steps of this width): of the first state, of the others, of differences, and their weighted sum."""
+
+    def mean(errors: Column, n: int) -> Column:
+        return F.aggregate(errors, F.lit(0.0), lambda s, x: s + smooth_l1(x, beta)) / n
+
+    error = F.zip_with(a, b, lambda x, y: x - y)
+    initial = mean(F.slice(error, 1, width), width)
+    rest = (steps - 1) * width
+    later = F.slice(error, width + 1, rest)
+    none = F.lit(0.0)
+    rollout = mean(later, rest) if rest else none
+    # The difference of two series' differences is that of their errors.
+    velocity = mean(F.zip_with(later, F.slice(error, 1, rest), lambda x, y: x - y), rest) if rest else none
+    total = weights[0] * initial + weights[1] * rollout + weights[2] * velocity
+    return {"initial": initial, "rollout": rollout, "velocity": velocity, "total": total}
+
+
 def masked_mean(value: Column, mask: Column) -> Column:
     """Aggregate: mean where the mask is set; 0 if it never is."""
     m = mask.cast("double")

@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.sampling import numbered_in_groups
+
 
 def domain_means(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in metrics])
+    """Count and means of each domain; a mean that is not finite raises an error."""
+
+    def mean(m: str) -> Column:
+        x = F.avg(m)
+        bad = F.raise_error(F.lit(f"{m} is not finite"))
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), bad).otherwise(x).alias(m)
+
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[mean(m) for m in metrics])
 
 
 def weighted_overall(means: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
@@ -18,23 +27,12 @@ def weighted_overall(means: DataFrame, by: list[str], metrics: list[str]) -> Dat
 
 def worst_quartile(means: DataFrame, by: list[str], domain: str, ranking: str, metrics: list[str], share: float = 0.25) -> DataFrame:
     """The unweighted mean of each metric over the domains with the largest ranking metric, a share of them and one at least."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    placed = means.select("*", F.row_number().over(group.orderBy(F.desc(ranking), domain)).alias("rn"), F.count("*").over(group).alias("domains"))
+    rows = means.withColumn("_down", -F.col(ranking))
+    placed = numbered_in_groups(rows, by, ["_down", domain], "rn", "domains")
     worst = placed.where(F.col("rn") <= F.greatest(F.ceil(F.col("domains") * share), F.lit(1)))
     return worst.groupBy(*by).agg(F.count("*").alias("n_domains"), *[F.avg(m).alias(m) for m in metrics])
 
 
-def paired_sensitivity(pairs: DataFrame, original: Column, control: Column) -> DataFrame:
-    delta = control - original
-    return pairs.select(delta.alias("delta")).agg(
-        F.count("*").alias("n"),
-        F.avg("delta").alias("mean"),
-        F.median("delta").alias("median"),
-        F.avg((F.col("delta") > 0).cast("double")).alias("positive"),
-        (F.avg("delta") > 0).alias("gate"),
-    )
-
-
 def ranked(candidates: DataFrame, name: str, eligible: Column, order: list[Column]) -> DataFrame:
     """Candidates with their rank among the eligible ones by several metrics, then name; null for the others."""
     marked = candidates.withColumn("eligible", eligible)

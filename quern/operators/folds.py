@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import keys
@@ -14,13 +14,18 @@ from quern.functions import keys
 def group_holdout(units: DataFrame, key: str, seed: str, fraction: float) -> DataFrame:
     """(key, score, is_val): units whose score is below the fraction; one at least, and not all."""
     scored = units.select(key).distinct().withColumn("score", keys.score_hex(seed, F.col(key)))
-    order = Window.partitionBy(F.lit(0)).orderBy("score", key)
-    whole = Window.partitionBy(F.lit(0))
     below = F.col("score") < keys.threshold_hex(fraction) if fraction < 1 else F.lit(True)
-    placed = scored.select("*", below.alias("below"), F.row_number().over(order).alias("rn"), F.count("*").over(whole).alias("n"))
-    held = placed.withColumn("held", F.count_if("below").over(whole))
-    is_val = F.when(F.col("held") == 0, F.col("rn") == 1).when(F.col("held") == F.col("n"), F.col("rn") < F.col("n")).otherwise(F.col("below"))
-    return held.select(key, "score", is_val.alias("is_val"))
+    scored = scored.withColumn("below", below)
+    ends = scored.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("below")).alias("held"),
+        F.min(F.struct("score", key))[key].alias("first"),
+        F.max(F.struct("score", key))[key].alias("last"),
+    )
+    placed = scored.join(F.broadcast(ends))
+    own = F.col(key)
+    is_val = F.when(F.col("held") == 0, own == F.col("first")).when(F.col("held") == F.col("n"), own != F.col("last")).otherwise(F.col("below"))
+    return placed.select(key, "score", is_val.alias("is_val"))
 
 
 def unit_score(seed: str, text: str) -> int:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import keys
+
 
 def duplicate_groups(rows: DataFrame, key: str, member: str) -> DataFrame:
     """(key, size, excess, canonical) of keys that more than one member has."""
@@ -64,23 +66,40 @@ def short_episodes(rows: DataFrame, length: Column, required: Column, policy: st
 
 
 def exact_file_groups(files: DataFrame, kind: str = "file") -> DataFrame:
-    """Groups of files (path, length, content) with equal bytes; contents are hashed only where lengths are equal."""
+    """(group_id, sha256, bytes_each, size, canonical_member) of files (path, length, content) with equal bytes.
+
+    Contents are hashed only where lengths are equal, and digests are counted
+    before rows of a group come together; members are the files of a digest.
+    """
     alike = files.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
     hashed = files.join(alike, "length", "left_semi").select("path", "length", F.sha2("content", 256).alias("sha256"))
-    return (
-        hashed.groupBy("length", "sha256")
-        .agg(F.array_sort(F.collect_list("path")).alias("members"))
-        .where(F.size("members") > 1)
-        .select(
-            F.concat(F.lit(f"{kind}:"), F.substring("sha256", 1, 20)).alias("group_id"),
-            "sha256",
-            F.col("length").alias("bytes_each"),
-            "members",
-            F.col("members")[0].alias("canonical_member"),
-        )
+    groups = hashed.groupBy("length", "sha256").agg(F.count("*").alias("size"), F.min("path").alias("canonical_member")).where("size > 1")
+    name = F.concat(F.lit(f"{kind}:"), F.substring("sha256", 1, 20))
+    return groups.select(name.alias("group_id"), "sha256", F.col("length").alias("bytes_each"), "size", "canonical_member")
+
+
+def vector_audit(rows: DataFrame, by: list[str], index: str, vector: str) -> DataFrame:
+    """For each group and dimension of its vectors: n, least, most, mean, std, finite, and whether indices are there once."""
+    long = rows.select(*by, index, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf"))
+    return long.groupBy(*by, "dim").agg(
+        F.count("*").alias("n"),
+        F.min("x").alias("least"),
+        F.max("x").alias("most"),
+        F.avg("x").alias("mean"),
+        F.stddev_pop("x").alias("std"),
+        F.every(finite).alias("finite"),
+        (F.count_distinct(index) == F.count("*")).alias("unique_index"),
     )
 
 
+def tree_digests(files: DataFrame, by: list[str], order: str, name: str, content: str) -> DataFrame:
+    """(by, digest) over the files of each group in order: name and content, each behind its length; a group is a folder of sources."""
+    listed = F.array_sort(F.collect_list(F.struct(order, F.col(name).cast("binary").alias("n"), F.col(content).cast("binary").alias("c"))))
+    put = lambda acc, x: F.concat(acc, keys.length_prefixed(x["n"]), keys.length_prefixed(x["c"]))
+    return files.groupBy(*by).agg(listed.alias("f")).select(*by, F.sha2(F.aggregate("f", F.lit(b""), put), 256).alias("digest"))
+
+
 def contiguous(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
     """Whether each key's index is 0 to n - 1, each once."""
     return rows.groupBy(*keys).agg(
@@ -91,7 +110,7 @@ def contiguous(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
     )
 
 
-def contiguous_in_order(rows: DataFrame, keys: list[str], index: str, order: str) -> DataFrame:
+def contiguous_in_order(rows: DataFrame, keys: list[str], index: str, order: list[str]) -> DataFrame:
     """As :func:`contiguous`, in the order that the rows were stored in."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return rows.withColumn("at", at).groupBy(*keys).agg(F.count("*").alias("n"), F.every(F.col(index) == F.col("at")).alias("contiguous"))

@@ -61,3 +61,67 @@ def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100
         starts = sized.select("doc_id", "text", "width", F.explode(F.expr(runs)).alias("start"))
         found = found.unionByName(met(starts, short.withColumn("start", F.expr("left(passage, width)")), ["width", "start"]))
     return found.distinct()
+
+
+def coverage_rules(a: DataFrame, b: DataFrame, key: str, *, side: str | None = None, group: str | None = None) -> dict[str, DataFrame]:
+    """What keeps a from covering b exactly, by rule: missing in b, extra in b, listed twice in a, and groups of b on several sides of a."""
+    sides = coverage(a, b, key)
+    rules = {
+        "missing": sides.where("side = 'missing'"),
+        "extra": sides.where("side = 'extra'"),
+        "listed_twice": a.groupBy(key).count().where("count > 1"),
+    }
+    if side is not None and group is not None:
+        both = a.select(key, side).join(b.select(key, group), key)
+        rules["straddling"] = both.groupBy(group).agg(F.min(side).alias("x"), F.max(side).alias("y")).where("x <> y")
+    return rules
+
+
+def included(rows: DataFrame, manifest: DataFrame, key: str, include: Column) -> DataFrame:
+    """Rows whose manifest row says so; null counts as no."""
+    return rows.join(manifest.where(include).select(key), key, "left_semi")
+
+
+def against_manifest(wanted: DataFrame, manifest: DataFrame, key: str, include: str, reasons: str) -> DataFrame:
+    """Wanted keys with ``status``: ``usable``, ``excluded`` with its reasons, or ``unknown`` to the manifest."""
+    known = manifest.select(key, include, reasons).withColumn("_known", F.lit(True))
+    status = F.when(F.col("_known").isNull(), "unknown").when(F.col(include), "usable").otherwise("excluded")
+    none = F.array().cast("array<string>")
+    return wanted.join(known, key, "left").select(*wanted.columns, status.alias("status"), F.coalesce(reasons, none).alias("reasons"))
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value_a, value_b) of two reports with the same keys; a key that only one has raises an error."""
+    x = a.select(key, F.col(value).alias(f"{value}_a"), F.lit(True).alias("_a"))
+    y = b.select(key, F.col(value).alias(f"{value}_b"), F.lit(True).alias("_b"))
+    alone = F.col("_a").isNull() | F.col("_b").isNull()
+    checked = F.when(alone, F.raise_error(F.concat(F.lit("only one report has "), F.col(key).cast("string")))).otherwise(F.col(f"{value}_a"))
+    return x.join(y, key, "full").select(key, checked.alias(f"{value}_a"), f"{value}_b")
+
+
+def with_runs(candidates: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """Candidates and the runs of each, with ``status``: ok, missing, extra (a run without a candidate) or repeated."""
+    counted = runs.groupBy(key).agg(F.count("*").alias("runs"))
+    status = (
+        F.when(F.col("runs").isNull(), "missing").when(F.col("_own").isNull(), "extra").when(F.col("runs") > 1, "repeated").otherwise("ok")
+    )
+    joined = candidates.withColumn("_own", F.lit(True)).join(counted, key, "full")
+    return joined.withColumn("status", status).withColumn("runs", F.coalesce("runs", F.lit(0))).drop("_own")
+
+
+def same_sets(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, n_a, n_b, same_set): whether both have the same keys in a group of ``a``; repeats count."""
+    from quern.operators.partitions import set_signature
+
+    x, y = (
+        t.groupBy(group).agg(F.count("*").alias(f"n_{s}"), set_signature(F.col(key)).alias(f"_{s}")) for t, s in ((a, "a"), (b, "b"))
+    )
+    same = F.coalesce((F.col("_a") == F.col("_b")) & (F.col("n_a") == F.col("n_b")), F.lit(False))
+    return x.join(y, group, "left").select(group, "n_a", F.coalesce("n_b", F.lit(0)).alias("n_b"), same.alias("same_set"))
+
+
+def ordered_lists(rows: DataFrame, key: str, order: str, values: dict[str, Column]) -> DataFrame:
+    """(key, a list for each value) in one order, so that lists of several tables can be held against each other; groups are bounded."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), *[v.alias(n) for n, v in values.items()])))
+    made = rows.groupBy(key).agg(listed.alias("_l"))
+    return made.select(key, *[F.col("_l").getField(n).alias(n) for n in values])

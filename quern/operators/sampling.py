@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def numbered(rows: DataFrame, order: str | list[str], name: str) -> DataFrame:
     return placed.join(starts, "_range").withColumn(name, number.cast("long")).drop("_at", "_range", "_before")
 
 
+def numbered_in_groups(rows: DataFrame, by: list[str], order: list[str], name: str, size: str) -> DataFrame:
+    """Rows with their place in their group, from 1, and the group's size. A group of any size is dealt to as many tasks as it needs."""
+    placed = numbered(rows, [*by, *order], "_rn")
+    sizes = placed.groupBy(*by).agg(F.count("*").alias(size), F.min("_rn").alias("_first"))
+    own = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by], F.lit(True))
+    sizes = sizes.select(*[F.col(b).alias(f"_by_{b}") for b in by], size, "_first")
+    joined = placed.join(sizes, own).drop(*[f"_by_{b}" for b in by])
+    return joined.withColumn(name, F.col("_rn") - F.col("_first") + 1).drop("_rn", "_first")
+
+
 def round_robin(rows: DataFrame, group: str, seed: str, line: Column, tie: str, limit: int) -> DataFrame:
     """The first ``limit`` rows when groups take turns, groups and rows each in the order of their seeded scores."""
     own = Window.partitionBy(group).orderBy("_score", tie)

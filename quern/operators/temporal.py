@@ -59,3 +59,16 @@ def lagged_pairs(rows: DataFrame, keys: list[str], order: list[str], command: st
     states = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead(state, k).over(w).alias("state")) for k in range(most + 1)])
     made = rows.select(*keys, F.col(command).alias("command"), states.alias("states"))
     return made.select(*keys, "command", F.inline("states")).where("state is not null")
+
+
+def last_state(rows: DataFrame, keys: list[str], action: str, state: str, gain: float, bias: float) -> DataFrame:
+    """(keys, n, state): the last of the states s[t] = s[t-1] + gain * (a[t-1] - s[t-1]) + bias, from the first frame's state, for rows (keys, idx).
+
+    Each step is a straight line, so the last state is a sum over frames, each
+    weighted by how far it lies back; no episode is gathered.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    back = F.pow(F.lit(1.0 - gain), F.col("n") - 2 - F.col("idx"))
+    moved = F.when(F.col("idx") < F.col("n") - 1, back * (gain * F.col(action) + bias)).otherwise(0.0)
+    start = F.when(F.col("idx") == 0, F.pow(F.lit(1.0 - gain), F.col("n") - 1) * F.col(state)).otherwise(0.0)
+    return rows.join(sizes, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.sum(moved + start).alias("state"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import checks, evaluation, graphs, manifests, registry, relations, statistics, windows  # noqa: F401
+from quern.plans import checks, clips, evaluation, folding, gates, graphs, manifests, registry, relations, scans, statistics, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import checks
+from quern.functions import checks, keys
 from quern.operators import frames
 from quern.plans.registry import query
 from quern.sources import outputs
@@ -60,4 +60,4 @@ def path_safety(spark, d):
 @query("""SELECT n_nationkey, substr(sha1(n_name), 1, 16) AS cache_key, row_number() OVER (ORDER BY n_nationkey DESC) <= 3 OR n_nationkey % 10 = 0 AS keep FROM nation""")
 def checkpoint_retention(spark, d):
     out = outputs.retained(table(spark, d, "nation"), "n_nationkey", 3, 10)
-    return out.select("n_nationkey", outputs.cache_key(F.col("n_name")).alias("cache_key"), "keep")
+    return out.select("n_nationkey", keys.cache_key(F.col("n_name")).alias("cache_key"), "keep")

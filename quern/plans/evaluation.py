@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, stats
+from quern.operators import evaluate, sampling, selection, stats
 from quern.plans.registry import query
-from quern.plans.statistics import NUDGE, r6
+from quern.plans.statistics import r6
 from quern.tables import table
 
 METRICS = ["err", "tax", "disc"]
@@ -41,20 +41,17 @@ def worst_quartile(spark, d):
     return evaluate.worst_quartile(means, [], "l_suppkey", "err", METRICS).select("n_domains", *r6(*METRICS))
 
 
-@query("""WITH r AS (SELECT value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n, event_type FROM events),
-p AS (SELECT b.value - a.value AS delta FROM r a JOIN r b ON a.event_type = b.event_type AND b.rn = a.rn % a.n + 1)
-SELECT count(*) AS n, round(avg(delta) + 1e-9, 6) AS mean, round(median(delta) + 1e-9, 6) AS median, round(avg((delta > 0)::INT), 6) AS positive,
-  avg(delta) > 1e-9 AS gate FROM p""")
+@query("""WITH r AS (SELECT value, json_extract(props, '$.k')::DOUBLE AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n, event_type FROM events),
+p AS (SELECT b.k - a.value AS delta FROM r a JOIN r b ON a.event_type = b.event_type AND b.rn = a.rn % a.n + 1)
+SELECT count(*) AS n, round(sum(delta), 2) AS total, round(median(delta), 4) AS median, count(*) FILTER (delta > 0) AS positive, avg(delta) > 0 AS gate FROM p""")
 def paired_sensitivity(spark, d):
-    """Events against the next event of their type, the last against the first."""
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("event_type").orderBy("event_id")
-    first = F.first("value").over(Window.partitionBy("event_type").orderBy("event_id"))
-    rows = table(spark, d, "events").select("value", F.coalesce(F.lead("value").over(own), first).alias("control"))
-    out = evaluate.paired_sensitivity(rows, F.col("value"), F.col("control"))
-    middles = [F.round(F.col(c) + NUDGE, 6).alias(c) for c in ("mean", "median")]
-    return out.select("n", *r6("positive"), *middles, (F.col("mean") > 1e-9).alias("gate"))
+    """Events' values against the property of the next event of their type, the last against the first."""
+    rows = table(spark, d, "events").select("event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    placed = sampling.numbered_in_groups(rows, ["event_type"], ["event_id"], "rn", "n")
+    donors = placed.select("event_type", (F.col("rn") - 1).alias("to"), F.col("k").alias("control"))
+    pairs = placed.withColumn("to", F.col("rn") % F.col("n")).join(donors, ["event_type", "to"])
+    out, n = selection.sensitivity(pairs, [], "value", "control"), F.col("n")
+    return out.select("n", F.round(F.col("mean") * n, 2).alias("total"), F.round("median", 4).alias("median"), F.round(F.col("positive") * n).cast("long").alias("positive"), "gate")
 
 
 @query(f"""WITH {L}, c AS (SELECT l_returnflag, l_suppkey, count(*) AS n, avg(err) AS err, avg(disc) AS disc FROM l GROUP BY ALL),

@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import series
-from quern.operators import stats, temporal
+from quern.operators import quality, stats, temporal
 from quern.plans.registry import query
 from quern.plans.windows import KEYS, ORDER, E, W, events
 from quern.tables import table
 
 
-#: Added before rounding where exact means lie halfway between two rounded values, so that all engines go the same way.
-NUDGE = 1e-9
-
-
 def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-@query("""SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value) + 1e-9, 6) AS mean,
+@query("""SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS most, round(sum(value), 2) AS total,
   round(stddev_pop(value), 6) AS std, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id""")
 def episode_audit(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(
         F.count("*").alias("n"),
         F.min("value").alias("least"),
         F.max("value").alias("most"),
-        F.round(F.avg("value") + NUDGE, 6).alias("mean"),
+        F.round(F.sum("value"), 2).alias("total"),
         F.round(F.stddev_pop("value"), 6).alias("std"),
         F.count_distinct("event_type").alias("kinds"),
     )
@@ -128,10 +124,12 @@ def servo_ols(spark, d):
     )
 
 
-@query(f"WITH {PAIRS} SELECT user_id, round({MAE} + 1e-9, 6) AS mae FROM p WHERE lag = 0 GROUP BY user_id ORDER BY mae, user_id")
+@query(f"WITH {PAIRS} SELECT user_id, count(*) AS n, round(sum(abs(s - c)), 2) AS total FROM p WHERE lag = 0 GROUP BY user_id")
 def dataset_mae_rank(spark, d):
-    out = _pairs(spark, d, 0).groupBy("user_id").agg(F.round(F.avg(F.abs(F.col("state") - F.col("command"))) + NUDGE, 6).alias("mae"))
-    return out.orderBy("mae", "user_id")
+    """Users by their mean error, greatest last; a sum and a count are what can be compared exactly."""
+    error = F.abs(F.col("state") - F.col("command"))
+    out = _pairs(spark, d, 0).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(error), 2).alias("total"))
+    return out.orderBy(F.col("total") / F.col("n"), "user_id")
 
 
 @query(f"""WITH {PAIRS} SELECT coalesce(lag, -1)::INT AS lag, coalesce(event_type, '*') AS event_type, count(*) AS n, round({MAE}, 6) AS mae,
@@ -159,3 +157,35 @@ FROM lineitem GROUP BY l_suppkey""")
 def masked_mean(spark, d):
     mean = series.masked_mean(F.col("l_extendedprice"), F.col("l_returnflag") == "R")
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(mean, 4).alias("mean_returned"))
+
+
+@query("""WITH u AS (SELECT label, vec_id, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+t AS (SELECT label, dim, avg(x) AS c, greatest(stddev_pop(x), 1e-4) AS s FROM u GROUP BY label, dim)
+SELECT vec_id, round(sum((x - c) / s), 5) AS total, round(max((x - c) / s), 5) AS most, round(sum(x), 5) AS untouched FROM u JOIN t USING (label, dim) GROUP BY vec_id""")
+def gaussian_transform(spark, d):
+    """Vectors normalized by the means and deviations of their label, without a limit, and by statistics that change nothing."""
+    rows = table(spark, d, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
+    z = stats.standardized(F.col("x"), F.col("center"), F.col("scale"))
+    same = stats.standardized(F.col("x"), *stats.identity_stats(64))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 5)
+    out = rows.join(_vector_stats(rows), "label").select("vec_id", z.alias("z"), same.alias("same"))
+    return out.select("vec_id", total("z").alias("total"), F.round(F.array_max("z"), 5).alias("most"), total("same").alias("untouched"))
+
+
+def _vector_stats(rows):
+    audit = quality.vector_audit(rows, ["label"], "vec_id", "embedding")
+    listed = F.array_sort(F.collect_list(F.struct("dim", "mean", F.greatest("std", F.lit(1e-4)).alias("std"))))
+    return audit.groupBy("label").agg(listed.alias("s")).select("label", F.col("s.mean").alias("center"), F.col("s.std").alias("scale"))
+
+
+@query("""WITH u AS (SELECT label, vec_id, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+t AS (SELECT label, dim, avg(x) AS c, greatest(stddev_pop(x), 1e-4) AS s FROM u GROUP BY label, dim), z AS (SELECT dim, c, s FROM t WHERE label = 0)
+SELECT t.label, round(sum((t.dim + 1) * t.s / z.s), 6) AS weights, round(0.5 + sum((t.dim + 1) * (t.c - z.c) / z.s), 6) AS bias FROM t JOIN z USING (dim) GROUP BY t.label""")
+def reparameterized(spark, d):
+    """A line over inputs normalized by label 0's statistics, told anew for those of each label."""
+    made = _vector_stats(table(spark, d, "embeddings"))
+    old = made.where("label = 0").select(F.col("center").alias("c0"), F.col("scale").alias("s0"))
+    weight = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("double"))
+    w, b = stats.reparameterized(weight, F.lit(0.5), (F.col("c0"), F.col("s0")), (F.col("center"), F.col("scale")))
+    rows = made.join(F.broadcast(old)).select("label", w.alias("w"), b.alias("bias"))
+    return rows.select("label", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("weights"), F.round("bias", 6).alias("bias"))

@@ -163,10 +163,8 @@ def second_difference(spark, d):
 @query(f"""WITH {E}, t AS (SELECT user_id, list(v ORDER BY idx) AS a, arg_min(k, idx) AS s0 FROM e GROUP BY user_id)
 SELECT user_id, len(a)::INT AS n, round(list_reduce(list_concat([s0], a[:len(a) - 1]), lambda s, x: s + 0.3 * (x - s) + 0.01), 6) AS last_state FROM t""")
 def servo_recurrence(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "v", "k")))
-    rows = frames(spark, d).groupBy("user_id").agg(ordered.alias("f"))
-    states = series.servo(F.transform("f", lambda x: x["v"]), F.col("f")[0]["k"], 0.3, 0.01)
-    return rows.select("user_id", F.size("f").alias("n"), F.round(F.element_at(states, -1), 6).alias("last_state"))
+    out = temporal.last_state(frames(spark, d), KEYS, "v", "k", 0.3, 0.01)
+    return out.select("user_id", F.col("n").cast("int").alias("n"), F.round("state", 6).alias("last_state"))
 
 
 @query()

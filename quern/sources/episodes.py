@@ -53,12 +53,19 @@ def repositories(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def episodes(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each episode that the metadata lists, with its key and paths; indices may have gaps, blank lines are passed over."""
+def episodes(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
+    """A row for each episode that the metadata lists, with its key and paths; indices may have gaps, blank lines are passed over.
+
+    Episodes of a collection without actions or an eligible camera are passed
+    over; with ``strict`` they are an error.
+    """
     lines = spark.read.schema("episode_index long, length long, tasks array<string>").json(f"{root}/*/*/meta/episodes.jsonl")
     parts = F.split(F.col("_metadata.file_path"), "/")
     rows = lines.withColumn("repository_id", F.concat_ws("/", F.element_at(parts, -4), F.element_at(parts, -3)))
-    found = rows.where("episode_index is not null").join(F.broadcast(repositories(spark, root)), "repository_id")
+    found = rows.where("episode_index is not null").join(repositories(spark, root), "repository_id", "left" if strict else "inner")
+    if strict:
+        error = F.raise_error(F.concat(F.lit("no actions or no eligible camera: "), F.col("repository_id")))
+        found = found.withColumn("video_key", F.when(F.col("video_key").isNull(), error).otherwise(F.col("video_key")))
     index = F.col("episode_index")
     chunk = F.expr("episode_index div chunks_size")
     return found.select(
@@ -75,10 +82,56 @@ def episodes(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def camera_examples(spark: SparkSession, root: str, width: int = 6, least_length: int = 1) -> DataFrame:
+    """(repository_id, video_key, episode_index, length): a row for each eligible camera and episode.
+
+    Of collections whose action is a vector of this width alone, and of
+    episodes of this length at least.
+    """
+    files = spark.read.option("wholetext", True).text(f"{root}/*/*/meta/info.json")
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    name = F.concat_ws("/", F.element_at(parts, -4), F.element_at(parts, -3)).alias("repository_id")
+    info = files.select(name, F.from_json("value", INFO, {"mode": "FAILFAST"}).alias("i"))
+    features = F.col("i.features")
+    cameras = F.filter(F.map_keys(features), lambda k: (features[k]["dtype"] == "video") & is_wide_camera(k))
+    wide = info.where(features["action"]["shape"] == F.array(F.lit(width))).select(
+        "repository_id", F.explode(F.array_sort(cameras)).alias("video_key")
+    )
+    lines = spark.read.schema("episode_index long, length long").json(f"{root}/*/*/meta/episodes.jsonl")
+    rows = lines.where("episode_index is not null").select(name, "episode_index", "length")
+    return wide.join(rows.where(F.col("length") >= least_length), "repository_id")
+
+
+def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, bytes) of files below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select("path", F.col("length").alias("bytes"))
+
+
 def file_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, bytes, sha256) of files."""
     files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return records(files.select("path", "content"))
+
+
+def records(files: DataFrame) -> DataFrame:
+    """(path, bytes, sha256) of (path, content)."""
+    content = F.col("content").cast("binary")
+    return files.select("path", F.length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))
+
+
+def verified(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, status) of records (path, bytes, sha256): ok, missing, extra, other_size or other_content."""
+    a = expected.select("path", F.struct("bytes", "sha256").alias("a"))
+    b = found.select("path", F.struct("bytes", "sha256").alias("b"))
+    status = (
+        F.when(F.col("b").isNull(), "missing")
+        .when(F.col("a").isNull(), "extra")
+        .when(F.col("a.bytes") != F.col("b.bytes"), "other_size")
+        .when(F.col("a.sha256") != F.col("b.sha256"), "other_content")
+        .otherwise("ok")
+    )
+    return a.join(b, "path", "full").select("path", status.alias("status"))
 
 
 def paired_by_stem(a: DataFrame, b: DataFrame) -> DataFrame:

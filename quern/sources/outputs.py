@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.evaluate import require_all
@@ -30,10 +30,28 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def retained(checkpoints: DataFrame, step: str, last: int, every: int) -> DataFrame:
-    """Checkpoints (a short list) with ``keep``: the last ones by step, and each whose step is a multiple of ``every``."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(step)))
-    return checkpoints.withColumn("keep", (place <= last) | (F.col(step) % every == 0))
+    """Checkpoints of distinct steps with ``keep``: the last ones by step, and each whose step is a multiple of ``every``."""
+    cut = checkpoints.select(step).orderBy(F.desc(step)).limit(last).agg(F.min(step).alias("_cut"))
+    keep = (F.col(step) >= F.col("_cut")) | (F.col(step) % every == 0)
+    return checkpoints.join(F.broadcast(cut)).withColumn("keep", keep).drop("_cut")
 
 
-def cache_key(key: Column) -> Column:
-    return F.substring(F.sha1(key), 1, 16)
+def write_report(rows: DataFrame, report: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Write the report beside the rows, always; the rows only if no rule is broken, and raise otherwise."""
+    write_new(report, f"{path.rstrip('/')}-report", "json")
+    write_checked(rows, report, path, kind)
+
+
+def write_manifest(rows: DataFrame, folder: str, key: str, reasons: str = "reasons") -> None:
+    """A manifest as JSON lines in the order of its key, with how often each reason excludes and with its totals beside it."""
+    folder = folder.rstrip("/")
+    write_lines(rows, f"{folder}/episodes", key)
+    issues = rows.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    write_new(issues, f"{folder}/issues", "json")
+    totals = rows.agg(F.count("*").alias("total"), F.count_if(F.size(reasons) == 0).alias("included"))
+    write_new(totals, f"{folder}/totals", "json")
+
+
+def write_stats(stats: DataFrame, path: str, signature: str) -> None:
+    """Statistics as JSON, bound to the split that they were made for."""
+    write_new(stats.withColumn("signature", F.lit(signature)), path, "json")
