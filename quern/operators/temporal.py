@@ -72,3 +72,35 @@ def last_state(rows: DataFrame, keys: list[str], action: str, state: str, gain:
     moved = F.when(F.col("idx") < F.col("n") - 1, back * (gain * F.col(action) + bias)).otherwise(0.0)
     start = F.when(F.col("idx") == 0, F.pow(F.lit(1.0 - gain), F.col("n") - 1) * F.col(state)).otherwise(0.0)
     return rows.join(sizes, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.sum(moved + start).alias("state"))
+
+
+def clipped_gather(windows: DataFrame, frames: DataFrame, keys: list[str], offsets: list[Column], length: str, values: list[str]) -> DataFrame:
+    """The frames of windows (keys, start, length) at offsets from their start, held at the last frame: ``at``, ``clipped`` and the values."""
+    wanted = windows.select("*", F.posexplode(F.array(*[F.col("start") + o for o in offsets])).alias("at", "_to"))
+    last = F.col(length) - 1
+    wanted = wanted.withColumn("clipped", F.col("_to") > last).withColumn("idx", F.least("_to", last)).drop("_to")
+    return wanted.join(frames.select(*keys, "idx", *values), [*keys, "idx"])
+
+
+def gather_all(windows: DataFrame, frames: DataFrame, keys: list[str], indices: str, value: str) -> DataFrame:
+    """(keys, start, values): a list for each window, in the order of its indices, which must increase; a frame that isn't there raises an error."""
+    steps = F.when(series.is_increasing(F.col(indices)), F.col(indices)).otherwise(F.raise_error(F.lit("indices do not increase")))
+    wanted = windows.select(*keys, "start", F.posexplode(steps).alias("at", "idx"))
+    found = frames.select(*keys, "idx", F.struct(F.col(value).alias("v")).alias("_f"))
+    missing = F.raise_error(F.concat(F.lit("no frame "), F.col("idx").cast("string")))
+    rows = wanted.join(found, [*keys, "idx"], "left").withColumn("_v", F.when(F.col("_f").isNull(), missing).otherwise(F.col("_f.v")))
+    listed = F.array_sort(F.collect_list(F.struct("at", "_v")))
+    return rows.groupBy(*keys, "start").agg(listed.alias("l")).select(*keys, "start", F.col("l._v").alias("values"))
+
+
+def tiled(episodes: DataFrame, times: int) -> DataFrame:
+    """Every episode as many times, numbered by ``tile``."""
+    return episodes.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
+
+
+def window_features(windows: DataFrame, frames: DataFrame, keys: list[str], steps: int, value: str) -> DataFrame:
+    """(keys, start, idx, delta): within each window, how far each frame's value lies from the first one's."""
+    places = F.sequence(F.col("start"), F.col("start") + steps - 1)
+    rows = gather(windows.withColumn("_places", places), frames, keys, "_places", [value])
+    first = frames.select(*keys, F.col("idx").alias("start"), F.col(value).alias("_first"))
+    return rows.join(first, [*keys, "start"]).select(*keys, "start", "idx", (F.col(value) - F.col("_first")).alias("delta"))
