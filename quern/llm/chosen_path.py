@@ -54,7 +54,7 @@ class Settings:
     branches: int = 2
     depth: int = 3
     #: Texts in one side of a block that is compared in one task, and their bytes where texts are long.
-    block: int = 1024
+    block: int = 512
     block_bytes: int = 4 << 20
     #: A list of at most so many digests is sent to every executor; a longer one is joined by a shuffle.
     broadcast_rows: int = 500_000
