@@ -35,12 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_repositories(members: DataFrame, group: str, repository: str) -> DataFrame:
-    """(repository, component) of repositories that share duplicates; ``repo:`` and its name for one alone."""
+    """(repository, component) of repositories that share duplicates; ``repo:`` and its name for one alone.
+
+    The id is a digest of all names, so a component has ``keys.MOST_KEYS`` at most; more raise an error.
+    """
     pairs = members.select(F.col(group).alias("g"), F.col(repository).alias("r")).distinct()
     first = pairs.groupBy("g").agg(F.min("r").alias("a"))
     edges = pairs.join(first, "g").select("a", F.col("r").alias("b")).distinct()
     found = components(edges)
-    names = F.array_sort(F.collect_list("node"))
+    names = keys.bounded(F.array_sort(F.collect_list("node")))
     ids = found.groupBy("root").agg(names.alias("names"))
     linked = F.concat(F.lit("linked-repos:"), F.substring(F.sha2(F.array_join("names", "\n"), 256), 1, 20))
     one = F.concat(F.lit("repo:"), F.col("names")[0])
@@ -48,15 +51,18 @@ def linked_repositories(members: DataFrame, group: str, repository: str) -> Data
 
 
 def leakage_units(episodes: DataFrame, owner: Column, group: Column, frames: Column) -> DataFrame:
-    """Units of episodes that owners and groups connect: unit_id, owners, groups, episode_count, frame_count."""
+    """Units of episodes that owners and groups connect: unit_id, owners, groups, episode_count, frame_count.
+
+    A unit's id is a digest of its owners and groups, so it has ``keys.MOST_KEYS`` of each at most; more raise an error.
+    """
     rows = episodes.select(owner.cast("string").alias("owner"), group.cast("string").alias("grp"), frames.cast("long").alias("frames"))
     # Sums first, so that what comes together in a unit is a row for each pair of owner and group.
     rows = rows.groupBy("owner", "grp").agg(F.count("*").alias("episodes"), F.sum("frames").alias("frames"))
     edges = rows.select(F.concat(F.lit("owner:"), "owner").alias("a"), F.concat(F.lit("group:"), "grp").alias("b"))
     roots = components(edges)
     units = rows.withColumn("node", F.concat(F.lit("owner:"), "owner")).join(roots, "node").groupBy("root").agg(
-        F.array_sort(F.collect_set("owner")).alias("owners"),
-        F.array_sort(F.collect_set("grp")).alias("groups"),
+        keys.bounded(F.array_sort(F.collect_set("owner"))).alias("owners"),
+        keys.bounded(F.array_sort(F.collect_set("grp"))).alias("groups"),
         F.sum("episodes").cast("long").alias("episode_count"),
         F.sum("frames").cast("long").alias("frame_count"),
     )

@@ -63,11 +63,11 @@ def shift_repeat(spark, d):
     return events(spark, d).select("event_id", series.shifted(F.col("v"), series.along(KEYS, ORDER), F.col("v")).alias("shifted"))
 
 
-@query(f"WITH {E} SELECT a.event_id, a.idx, b.v AS previous FROM e a JOIN e b ON a.user_id = b.user_id AND b.idx = greatest(a.idx - 1, 4) WHERE a.idx >= 4")
+@query(f"WITH {E} SELECT a.event_id, a.idx, b.v AS previous FROM e a JOIN e b ON a.user_id = b.user_id AND b.idx = greatest(a.idx - 1, 0)")
 def previous_command(spark, d):
     f = frames(spark, d)
-    rows = f.where("idx >= 4").select("event_id", "user_id", "idx")
-    return temporal.previous_command(rows, f, KEYS, F.lit(4).cast("long"), "v").select("event_id", "idx", "previous")
+    rows = f.select("event_id", "user_id", "idx")
+    return temporal.previous_command(rows, f, KEYS, F.lit(0).cast("long"), "v").select("event_id", "idx", "previous")
 
 
 RATES = "(VALUES (10.0, 6.0), (15.0, 6.0), (30.0, 6.0), (6.0, 6.0)) AS r(fps, target)"
@@ -79,20 +79,22 @@ def _rates(spark):
 
 @query(f"""SELECT fps::DOUBLE AS fps, target::DOUBLE AS target, n AS length,
   string_agg(CASE WHEN n < 1 THEN 0 ELSE least(greatest(round_even(i * fps::DOUBLE / target::DOUBLE, 0)::BIGINT + 1, 0), n - 1) END::VARCHAR, ',' ORDER BY i) AS indices
-FROM {RATES}, range(0, 40, 8) AS l(n), range(0, 16) AS s(i) GROUP BY fps, target, n""")
+FROM {RATES}, (SELECT DISTINCT count(*) // 4 AS n FROM events GROUP BY user_id UNION SELECT 0) AS l, range(0, 16) AS s(i) GROUP BY fps, target, n""")
 def resample_rint(spark, d):
-    lengths = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(32).cast("long"), F.lit(8).cast("long")))
-    rows = _rates(spark).select("*", lengths.alias("length"))
+    lengths = _lengths(spark, d).select(F.expr("n div 4").alias("length")).union(spark.range(1)).distinct()
+    rows = lengths.join(F.broadcast(_rates(spark)))
     at = series.resample_rint(F.col("length"), 16, F.col("fps"), F.col("target"), F.lit(1))
     return rows.select("fps", "target", "length", F.array_join(at, ",").alias("indices"))
 
 
-@query(f"""SELECT fps::DOUBLE AS fps, target::DOUBLE AS target,
-  string_agg(floor(i * fps::DOUBLE / target::DOUBLE + 0.5)::BIGINT::VARCHAR, ',' ORDER BY i) AS offsets, true AS increasing
-FROM {RATES}, range(0, 16) AS s(i) GROUP BY fps, target""")
+@query("""SELECT p_partkey, (6 + p_size % 25)::DOUBLE AS fps,
+  string_agg(floor(i * (6 + p_size % 25)::DOUBLE / 6.0::DOUBLE + 0.5)::BIGINT::VARCHAR, ',' ORDER BY i) AS offsets, true AS increasing
+FROM part, range(0, 16) AS s(i) GROUP BY p_partkey, p_size""")
 def resample_halfup(spark, d):
-    at = series.resample_half_up(16, F.col("fps"), F.col("target"))
-    return _rates(spark).select("fps", "target", F.array_join(at, ",").alias("offsets"), series.is_increasing(at).alias("increasing"))
+    """Parts as sources, with rates from their sizes."""
+    at = series.resample_half_up(16, F.col("fps"), F.lit(6.0))
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 25 + 6).cast("double").alias("fps"))
+    return rows.select("p_partkey", "fps", F.array_join(at, ",").alias("offsets"), series.is_increasing(at).alias("increasing"))
 
 
 N = "n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)"
@@ -139,11 +141,12 @@ def tail_pad(spark, d):
     return turns.select("conv_id", F.array_join(series.tail_repeat(F.col("t"), 9), ",").alias("turns"))
 
 
-@query("""WITH t AS (SELECT * FROM conversations WHERE NOT (conv_id % 7 = 3 AND turn = 0))
+@query("""WITH t AS (SELECT conv_id, CASE WHEN conv_id % 7 = 3 AND turn = 0 THEN 1 ELSE turn END AS turn FROM conversations)
 SELECT conv_id, count(*) AS n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS contiguous FROM t GROUP BY conv_id""")
 def frame_contiguity(spark, d):
-    """The first turn of some conversations is removed to make violations, which the table has none of."""
-    rows = table(spark, d, "conversations").where("not (conv_id % 7 = 3 and turn = 0)")
+    """The first turn of some conversations is numbered as the second to make violations, which the table has none of."""
+    turn = F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 0), 1).otherwise(F.col("turn"))
+    rows = table(spark, d, "conversations").select("conv_id", turn.alias("turn"))
     return quality.contiguous(rows, ["conv_id"], "turn")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 
 def faults(text: str | None, forbidden: frozenset[str]) -> tuple[list[str], bool, int]:
-    """(forbidden names that are there, whether an object has a name twice, depth of objects and arrays); depth -1 for what is no JSON."""
+    """(forbidden names that are there, whether an object has a name twice, how deep the deepest value lies); depth -1 for what is no JSON."""
     found, repeated = set(), False
 
     def kept(pairs: list[tuple]) -> dict:
