@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed, text_digest
+from quern.llm.common import batches, checkpointed, text_digest
 
 
 @dataclass(frozen=True)
@@ -136,9 +136,9 @@ def _sampled(settings: Settings) -> Callable:
             columns = [pa.array(tids, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        for batch in source:
+        for own, texts in batches(source, 1 << 20):
             tids, sizes, values, size = [], [], [], 0
-            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for tid, text in zip(own, texts, strict=True):
                 if tid in seen:
                     continue
                 if len(seen) < 100_000:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,21 +59,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of runs of at most ``max_bytes`` of text or one text, whichever is more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first, before = 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+        yield first, last
+        first, before = last, ends[last - 1]
+
+
 def batches(
     source: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20
 ) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, UTF-8 texts) in runs of at most ``max_bytes`` of text or one text, whichever is more."""
     for batch in source:
-        ids = batch.column(0).to_pylist()
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        first, size = 0, 0
-        for i, text in enumerate(texts):
-            if size and size + len(text) > max_bytes:
-                yield ids[first:i], texts[first:i]
-                first, size = i, 0
-            size += len(text)
-        if first < len(texts):
-            yield ids[first:], texts[first:]
+        ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+        for first, last in slices(texts, max_bytes):
+            yield ids.slice(first, last - first).to_pylist(), texts.slice(first, last - first).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def task_partition() -> int:

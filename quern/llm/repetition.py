@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batches
+from quern.llm.common import batches, slices
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -158,7 +158,7 @@ def _measured(limits: Limits) -> Callable:
     schema = pa.schema([("doc_id", pa.int64()), *_FIELDS])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in batches(source, 2 << 20):
+        for ids, texts in batches(source, 1 << 20):
             columns = [ids, *measure(texts, limits)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
@@ -198,16 +198,11 @@ def keep_unrepetitive(docs: DataFrame, *, text_col: str = "text", limits: Limits
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            text = batch.column(place).cast(pa.binary())
-            texts = [t or b"" for t in text.to_pylist()]
-            first, size, kept = 0, 0, []
-            for i, t in enumerate(texts):
-                if size and size + len(t) > 2 << 20:
-                    kept.append(measure(texts[first:i], limits)[-1])
-                    first, size = i, 0
-                size += len(t)
-            if texts:
-                kept.append(measure(texts[first:], limits)[-1])
+            text, kept = batch.column(place).cast(pa.binary()), []
+            for first, last in slices(text, 1 << 20):
+                kept.append(measure([t or b"" for t in text.slice(first, last - first).to_pylist()], limits)[-1])
+            if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
