@@ -61,9 +61,13 @@ p AS (SELECT *, score < '{threshold}' AS below, row_number() OVER (ORDER BY scor
 SELECT {key}, score, CASE WHEN held = 0 THEN rn = 1 WHEN held = n THEN rn < n ELSE below END AS is_val FROM p"""
 
 
-@query(holdout_sql("nation", "n_name", "13", keys.threshold_hex(0.2)))
+@query(f"""WITH h AS ({holdout_sql("customer", "c_nationkey", "13", keys.threshold_hex(0.2))})
+SELECT c_custkey, c_nationkey, score, is_val FROM customer JOIN h USING (c_nationkey)""")
 def hash_holdout(spark, d):
-    return folds.group_holdout(table(spark, d, "nation"), "n_name", "13", 0.2)
+    """Every customer with the side of its nation."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    held = folds.group_holdout(customers, "c_nationkey", "13", 0.2)
+    return customers.join(held, "c_nationkey").select("c_custkey", "c_nationkey", "score", "is_val")
 
 
 @query(holdout_sql("region", "r_name", "13", keys.threshold_hex(0.0001)))
