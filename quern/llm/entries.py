@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chosen_path, fixity, longest_match, mixing, packing, repetition, segment_crf, suffix_tree, telephony, url_lists
+from quern.llm import chosen_path, fixity, line_dedup, longest_match, mixing, packing, repetition, segment_crf, suffix_tree, telephony, url_lists
 from quern.llm.common import table
 
 
@@ -106,6 +106,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), **mix_options())
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,5 +127,6 @@ QUERIES = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_longest_match": op9_longest_match,
     "op10_mixing": op10_mixing,
+    "op11_line_dedup": op11_line_dedup,
     "pipeline": pipeline,
 }

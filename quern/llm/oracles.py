@@ -150,4 +150,18 @@ plan AS (
 SELECT * FROM taken WHERE copies > 0
 """
 
-SQL = {"op2_fixity": FIXITY, "op6_url_lists": URL_LISTS, "op10_mixing": MIXING}
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+LINE_DEDUP = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (SELECT doc_id, lines, generate_subscripts(lines, 1) AS i FROM t),
+k AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], {_BLANK}), {_LOWER}) AS key FROM e),
+held AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.doc_id, i, line, first_doc IS NOT NULL AND k.doc_id <> first_doc AS gone FROM k LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+SQL = {"op2_fixity": FIXITY, "op6_url_lists": URL_LISTS, "op10_mixing": MIXING, "op11_line_dedup": LINE_DEDUP}
