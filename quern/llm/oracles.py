@@ -164,4 +164,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-SQL = {"op2_fixity": FIXITY, "op6_url_lists": URL_LISTS, "op10_mixing": MIXING, "op11_line_dedup": LINE_DEDUP}
+#: Of a byte string's decimal digits and sign: each character, then eight shifts.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({text}, ''),
+    lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT *, {_CRC.format(text="conv_id::VARCHAR")} % 9 AS h, conv_id - conv_id % 5 AS base
+  FROM (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id)
+), hs AS (SELECT c.conv_id, c.h, c.base, c.own, least(c.h, coalesce(b.own, 0)) AS head FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (
+  SELECT hs.conv_id, place, role, text FROM hs JOIN t ON t.conv_id = hs.base AND place <= head
+  UNION ALL
+  SELECT hs.conv_id, place - h + head, role, text FROM hs JOIN t USING (conv_id) WHERE place > h
+), n AS (SELECT conv_id, (SELECT count(*) FROM r WHERE r.conv_id = hs.conv_id) AS turns FROM hs),
+p AS (
+  SELECT conv_id, place AS depth, strlen(text) AS bytes,
+    sha256(list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY place)::JSON::VARCHAR) AS key
+  FROM r
+  UNION ALL
+  SELECT conv_id, 0, 0, 'root' FROM hs
+), q AS (SELECT p.*, turns, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM p JOIN n USING (conv_id)),
+nodes AS (
+  SELECT depth, key, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, bool_and(turns = depth) AS leaf,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256
+  FROM q GROUP BY depth, key
+), up AS (
+  SELECT q.key, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * nodes.bytes)::BIGINT AS saved_tokens
+  FROM nodes JOIN q ON q.conv_id = nodes.conv_id AND q.depth <= nodes.depth GROUP BY q.key
+), kids AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent)
+SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM nodes x LEFT JOIN nodes y ON y.key = x.parent JOIN up ON up.key = x.key LEFT JOIN kids ON kids.key = x.key
+"""
+
+SQL = {"op2_fixity": FIXITY, "op6_url_lists": URL_LISTS, "op10_mixing": MIXING, "op11_line_dedup": LINE_DEDUP, "op13_prefix_trie": PREFIX_TRIE}
