@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chosen_path, fixity, line_dedup, longest_match, mixing, packing, prefix_trie, repetition, segment_crf, suffix_tree, telephony, url_lists
+from quern.llm import chosen_path, collocation, fixity, line_dedup, longest_match, mixing, packing, prefix_trie, repetition, segment_crf, suffix_tree, telephony, url_lists
 from quern.llm.common import table
 
 
@@ -110,6 +110,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -132,6 +136,7 @@ QUERIES = {
     "op9_longest_match": op9_longest_match,
     "op10_mixing": op10_mixing,
     "op11_line_dedup": op11_line_dedup,
+    "op12_collocation": op12_collocation,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }

@@ -151,12 +151,12 @@ SELECT * FROM taken WHERE copies > 0
 """
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_UPPER, _SMALL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 LINE_DEDUP = f"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 e AS (SELECT doc_id, lines, generate_subscripts(lines, 1) AS i FROM t),
-k AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], {_BLANK}), {_LOWER}) AS key FROM e),
+k AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], {_BLANK}), {_UPPER}, {_SMALL}) AS key FROM e),
 held AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
 m AS (SELECT k.doc_id, i, line, first_doc IS NOT NULL AND k.doc_id <> first_doc AS gone FROM k LEFT JOIN held USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
@@ -164,6 +164,36 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+COLLOCATION = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split(translate(coalesce(text, ''), {_UPPER} || '.,;:!?' || chr(11) || chr(12) || chr(13), {_SMALL} || repeat(chr(10), 9)), chr(10))) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM p
+), s AS (
+  SELECT lang, w, len(w) AS size, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0
+), g AS (
+  SELECT lang, w[i:i + k - 1] AS phrase FROM (SELECT *, unnest(generate_series(1, least(5, size - i + 1))) AS k FROM s)
+), f AS (SELECT lang, phrase, count(*) AS a FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+t AS (SELECT lang, sum(size)::BIGINT AS n FROM (SELECT lang, len(w) AS size FROM w) GROUP BY lang),
+c AS (SELECT lang, phrase, a, unnest(generate_series(1, len(phrase) - 1)) AS k FROM f WHERE len(phrase) > 1),
+o AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.phrase[1:k] JOIN f y ON y.lang = c.lang AND y.phrase = c.phrase[k + 1:] JOIN t ON t.lang = c.lang
+), low AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, phrase[2:] AS phrase, a FROM f WHERE len(phrase) > 2 UNION ALL SELECT lang, phrase[1:len(phrase) - 1], a FROM f WHERE len(phrase) > 2)
+  GROUP BY lang, phrase
+)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, array_to_string(low.phrase, ' ')) AS rank,
+  array_to_string(low.phrase, ' ') AS phrase, a, l, r, n, score
+FROM low LEFT JOIN inside ON inside.lang = low.lang AND inside.phrase = low.phrase
+WHERE longer IS NULL OR longer < a
+QUALIFY rank <= 2000
+"""
+
 #: Of a byte string's decimal digits and sign: each character, then eight shifts.
 _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({text}, ''),
     lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
@@ -202,4 +232,4 @@ SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(n_ch
 FROM nodes x LEFT JOIN nodes y ON y.key = x.parent JOIN up ON up.key = x.key LEFT JOIN kids ON kids.key = x.key
 """
 
-SQL = {"op2_fixity": FIXITY, "op6_url_lists": URL_LISTS, "op10_mixing": MIXING, "op11_line_dedup": LINE_DEDUP, "op13_prefix_trie": PREFIX_TRIE}
+SQL = {"op2_fixity": FIXITY, "op6_url_lists": URL_LISTS, "op10_mixing": MIXING, "op11_line_dedup": LINE_DEDUP, "op12_collocation": COLLOCATION, "op13_prefix_trie": PREFIX_TRIE}
