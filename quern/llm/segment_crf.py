@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from random import Random
@@ -41,6 +42,10 @@ class Settings:
     sample_docs: int = 1000
     #: The sample ends before its texts have more bytes than this, but has one text at least.
     sample_bytes: int = 64 << 20
+    #: Longer texts are not in the sample.
+    sample_text_bytes: int = 1 << 20
+    #: Fitting takes no more stretches once they have so many candidate segments.
+    sample_segments: int = 1 << 20
     #: The longest entity, in atoms, and for numbers in groups of digits and digits.
     longest: int = 24
     most_groups: int = 8
@@ -290,23 +295,48 @@ def variants(text: str, span: Span, rng: Random) -> Iterator[tuple[str, int, int
 def apart(spans: list[Span]) -> list[Span]:
     """Spans without overlap, longer ones first."""
     out: list[Span] = []
+    starts: list[int] = []  # of the taken ones in order, and where each ends
+    ends: list[int] = []
     for s in sorted(spans, key=lambda s: (s[0] - s[1], s)):
-        if all(s[1] <= o[0] or o[1] <= s[0] for o in out):
+        at = bisect_right(ends, s[0])
+        if at == len(starts) or s[1] <= starts[at]:
+            starts.insert(at, s[0])
+            ends.insert(at, s[1])
+            out.append(s)
+    return out
+
+
+def clear_of(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """Those of ``spans`` that overlap none of ``taken``, which are in the order of their starts and may overlap each other."""
+    starts: list[int] = []  # of what the taken ones cover together
+    ends: list[int] = []
+    for start, end, _ in taken:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    out = []
+    for s in spans:
+        at = bisect_right(ends, s[0])
+        if at == len(starts) or s[1] <= starts[at]:
             out.append(s)
     return out
 
 
 def fit(texts: list[str], s: Settings) -> np.ndarray:
     """Weights that make the sample's spans likely, by gradient steps on the conditional log-likelihood."""
-    rng, examples = Random(s.seed), []
+    rng, examples, segments = Random(s.seed), [], 0
 
     def add(text: str, first: int, last: int, gold: list[Span]) -> None:
+        nonlocal segments
         want = set(gold)
         for start, end in stretches(text):
-            if end <= first or last <= start:
+            if end <= first or last <= start or segments >= s.sample_segments:
                 continue
             n, spans, places = candidates(text, start, end, s)
             if spans:
+                segments += len(spans)
                 matrix = hashed(text, spans, s.features)
                 width = max(map(len, matrix))
                 # The last weight stays 0 and fills short rows.
@@ -347,7 +377,7 @@ def model_spans(text: str, weights: np.ndarray, s: Settings) -> list[Span]:
 def find(text: str, weights: np.ndarray, s: Settings) -> tuple[list[Span], list[Span]]:
     """(what the patterns find, that and what the model adds beside it), by start and kind."""
     base = base_spans(text)
-    more = [x for x in model_spans(text, weights, s) if all(x[1] <= b[0] or b[1] <= x[0] for b in base)]
+    more = clear_of(model_spans(text, weights, s), base)
     return base, sorted(base + more, key=lambda x: (x[0], x[2]))
 
 
@@ -357,7 +387,8 @@ def written(spans: list[Span]) -> str:
 
 def sampled(docs: DataFrame, s: Settings) -> list[str]:
     """The distinct texts of least hash, of those of (doc_id, text) that have marks."""
-    marked = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("hash"))
+    short = F.octet_length("text") <= s.sample_text_bytes
+    marked = docs.where(F.col("text").rlike("[0-9@]") & short).select("text", F.xxhash64("text").alias("hash"))
     sizes = marked.groupBy("hash").agg(F.max(F.octet_length("text")).cast("long").alias("size")).orderBy("hash").limit(s.sample_docs).collect()
     if not sizes:
         return []
@@ -401,7 +432,9 @@ def find_personal_data(
     points, end exclusive. The model's spans keep clear of the patterns'.
 
     Null and empty texts have no spans. Repeated rows and null ids each get a
-    row. Texts are worked through whole, in time proportional to their length.
+    row. Texts are worked through whole, in time proportional to their length
+    (spans are held against each other by bisection). Very long texts are not
+    in the sample that the model is fitted on.
     An empty table gives an empty result, and a table without personal data a
     model that adds nothing; other columns are not looked at.
     """

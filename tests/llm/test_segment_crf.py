@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -105,6 +106,45 @@ def test_long_runs_take_linear_time():
         P.find(text, np.zeros(SET.features + 1), SET)
 
 
+def contacts(n):
+    return "\n".join(f"write to name{i}@host{i % 9}.example.org or call +1 555 {i % 900 + 100} {i % 9000 + 1000}, box {i % 90000 + 10000}" for i in range(n))
+
+
+def test_dense_texts_take_time_in_proportion():
+    """A list of contacts that is eight times as long takes no more than sixteen times as long; a quadratic one takes 64 times."""
+    weights = P.fit(sample(60, 1), SET)
+    took = []
+    for n in (2_500, 20_000):
+        text = contacts(n)
+        began = time.perf_counter()
+        base, every = P.find(text, weights, SET)
+        P.apart(base)
+        took.append(time.perf_counter() - began)
+        assert len(base) >= 2 * n and every[: len(base)] and set(base) <= set(every)
+    assert took[1] < 16 * took[0], took
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9), st.integers(0, 3)), max_size=14), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=8))
+@settings(deadline=None)
+def test_overlaps_equal_plain_comparison(raw, other):
+    spans, more = [(a, a + n, k) for a, n, k in raw], [(a, a + n, 1) for a, n in other]
+    beside = lambda x, y: x[1] <= y[0] or y[1] <= x[0]
+    plain = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+        if all(beside(s, o) for o in plain):
+            plain.append(s)
+    assert P.apart(spans) == plain
+    assert P.clear_of(more, sorted(spans)) == [x for x in more if all(beside(x, b) for b in spans)]
+
+
+def test_fitting_is_bounded(spark):
+    few = P.Settings(**{**SET.__dict__, "sample_segments": 50})
+    weights = P.fit([contacts(3000)], few)
+    assert weights.any() and np.array_equal(weights, P.fit([contacts(400)], few))
+    docs = spark.createDataFrame([(1, "1" * 300), (2, "short 1")], "doc_id long, text string")
+    assert P.sampled(docs, P.Settings(sample_text_bytes=200)) == ["short 1"]
+
+
 def test_rows(spark):
     texts = [(t, i) for i, t in enumerate(sample(60, 3))] + [(None, 100), ("", 101), ("x é a@b.co", None), ("1.2.3.4", 700), ("1.2.3.4", 700)]
     df = spark.createDataFrame([(t, i, "k", 3) for t, i in texts], "text string, doc_id long, spans string, n_ip int")
