@@ -17,7 +17,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_digest
+from quern.llm.common import text_digest, written
 
 BLANK = " \t\n\x0b\x0c\r"
 #: What one digest's documents are dealt to.
@@ -47,6 +47,7 @@ def dropped_positions(texts: DataFrame, least_docs: int, least_chars: int) -> Da
     lines = keys.where(F.length("key") >= least_chars).select(
         "doc_id", "text_digest", "at", text_digest(F.col("key")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
     )
+    lines = written(lines)  # splitting all texts costs more than three scans of their lines' digests
     found = lines.join(shared_lines(lines, least_docs), ["digest", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     # Not more of them come together than the lines of one text.
     return found.groupBy("doc_id", "text_digest").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
