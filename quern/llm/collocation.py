@@ -5,13 +5,13 @@ with counts of end positions, handed up the suffix links, and enumerates their
 substrings of up to five words; counts of shards are then summed.
 
 What can't reach the least count is cut away beforehand, level by level: a
-phrase is as frequent as any phrase inside it at most. Words, pairs and then
-triples are counted first, and those that are frequent enough set bits of a
-bitmap of fixed size, which all tasks get. Words are counted as they are,
-pairs and triples by 64-bit hashes; a hash that several share, in the counts
-or in the bitmap, lets more through and nothing less. Runs that pass all
-levels are what automata are made of, and the counts of what they hold are
-exact.
+phrase is as frequent as any phrase inside it at most. Words, then pairs, and
+so on up to the longest phrases are counted first, and those that are frequent
+enough set bits of a bitmap of fixed size, which all tasks get. Words are
+counted as they are, the others by 64-bit hashes; a hash that several share,
+in the counts or in the bitmap, lets more through and nothing less. Stretches
+in which all runs pass are what automata are made of, and the counts of what
+they hold are exact.
 
 A phrase is subsumed by a longer one that is as frequent. In the automaton of
 the whole corpus a phrase without its first word is either in the same state,
@@ -35,14 +35,12 @@ from pyspark.sql import functions as F
 from quern.llm.common import checkpointed, slices
 
 MOST_WORDS = 5
-#: Words of the longest runs that are counted before automata are made.
-LEVELS = 3
 #: Bits of a level's bitmap, as a power of two: 8 MiB at any size of the corpus.
 BITS = 26
 #: Bits of one piece of a bitmap; what ``bitmap_construct_agg`` makes.
 PIECE_BITS = 15
 #: What a task gathers of texts, of counts, and of words for one automaton.
-SLICE_BYTES, MOST_COUNTS, MOST_TOKENS = 2 << 20, 1 << 20, 100_000
+SLICE_BYTES, MOST_COUNTS, MOST_TOKENS = 2 << 20, 1 << 20, 400_000
 #: Longer runs are cut.
 LONGEST_RUN = 20_000
 
@@ -241,18 +239,24 @@ class Automaton:
                     open_.append((longer, s))
 
 
-def segments(shard: Shard, filters: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """(first word, after the last) of stretches of two words or more that hold every run that passes, each pair once at most.
+def segments(shard: Shard, filters: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(first word, after the last, weight) of stretches that hold every run that passes, each once by the sum of weights.
 
-    A stretch's runs of each filter's length all pass; a pair that is in no
-    passing triple is a stretch of its own.
+    A stretch is as long as all runs in it of each filter's length pass.
+    Stretches next to each other may share words; these are taken off again.
     """
-    found = runs(shard, filters)
-    pairs, triples = found[1][1], found[2][1]
-    edges = np.diff(np.concatenate([[0], triples.view(np.int8), [0]]).astype(np.int8))
-    yield from zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) + 2).tolist(), strict=True)
-    alone = np.flatnonzero(pairs & ~triples & ~np.append(False, triples[:-1])[: len(triples)])
-    yield from zip(alone.tolist(), (alone + 2).tolist(), strict=True)
+    k, n = len(filters), len(shard.starts)
+    reach = np.zeros(n, np.int64)  # words of the longest run from here that passes
+    for _, passed in runs(shard, filters)[:k]:
+        reach += passed
+    at = np.arange(n)
+    # A run of full length goes on as far as the next one does.
+    ends = np.minimum.accumulate(np.where(reach < k, at + reach, n)[::-1])[::-1]
+    firsts = np.flatnonzero(np.append(True, ends[1:] > ends[:-1])[:n] & (ends - at > 1))
+    lasts = ends[firsts]
+    yield from zip(firsts.tolist(), lasts.tolist(), [1] * len(firsts), strict=True)
+    shared = np.flatnonzero(lasts[:-1] - firsts[1:] > 1)
+    yield from zip(firsts[shared + 1].tolist(), lasts[shared].tolist(), [-1] * len(shared), strict=True)
 
 
 def cut(words: tuple[int, ...], most_words: int, longest: int) -> Iterator[tuple[tuple[int, ...], int]]:
@@ -272,7 +276,7 @@ def _count_phrases(filters: list, most_words: int) -> callable:
         for part, weight in held.items():
             automaton.add(part, weight)
         automaton.settle()
-        found = [(" ".join([words[w] for w in path]), n) for path, n in automaton.substrings(2, most_words)]
+        found = [(" ".join([words[w] for w in path]), n) for path, n in automaton.substrings(2, most_words) if n]
         columns = [pa.array([lang] * len(found), pa.string()), pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
@@ -283,12 +287,12 @@ def _count_phrases(filters: list, most_words: int) -> callable:
         for lang, texts in _shards(source):
             shard = Shard(texts, lang)
             own, names = held.setdefault(lang, (Counter(), {}))
-            for first, last in segments(shard, bits):
+            for first, last, sign in segments(shard, bits):
                 words = tuple([names.setdefault(shard.word(i), len(names)) for i in range(first, last)])
                 for part, weight in cut(words, most_words, LONGEST_RUN) if len(words) > LONGEST_RUN else ((words, 1),):
                     if part not in own:
                         tokens[lang] += len(part)
-                    own[part] += weight
+                    own[part] += weight * sign
                 if tokens[lang] > MOST_TOKENS:
                     yield phrases(lang, own, names)
                     tokens[lang] = 0
@@ -317,7 +321,7 @@ def phrase_counts(texts: DataFrame, least: int, most_words: int) -> DataFrame:
     words = words.where(F.col("word").isNull() | (F.col("n") >= least)).select("lang", F.col("word").cast("string").alias("phrase"), "n")
     words = checkpointed(words)
     filters = [sc.broadcast(_bitmap(words.where("phrase is not null").select("lang", "phrase").mapInArrow(_hash_words, "h long")))]
-    while len(filters) < LEVELS:
+    while len(filters) < most_words:
         counts = texts.mapInArrow(_count_runs(list(filters)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         filters.append(sc.broadcast(_bitmap(counts.where(F.col("n") >= least))))
     phrases = texts.mapInArrow(_count_phrases(filters, most_words), "lang string, phrase string, n long")

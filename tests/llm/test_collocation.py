@@ -64,7 +64,7 @@ def test_small_shards_and_cut_runs_count_the_same(spark, corpus, monkeypatch):
 
     def counts():
         out = Counter()
-        for made in collocation._count_phrases([every] * 3, 5)(iter([batch])):
+        for made in collocation._count_phrases([every] * 5, 5)(iter([batch])):
             for lang, phrase, n in zip(*(c.to_pylist() for c in made.columns), strict=True):
                 out[lang, phrase] += n
         return +out
@@ -81,6 +81,27 @@ def test_small_shards_and_cut_runs_count_the_same(spark, corpus, monkeypatch):
     assert counts() == whole and len(whole) > 1000 and words() == singles
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_hold_each_passing_run_once(seed):
+    """Bitmaps that let some runs through: weights of the stretches around a run add up to 1, and to 0 around what doesn't pass."""
+    rng = random.Random(seed)
+    text = " ".join(rng.choice("abcd") + rng.choice(["", "", "", "."]) for _ in range(400)).encode()
+    shard = collocation.Shard([text], "en")
+    share, filters = rng.choice([0.5, 0.8, 0.95]), []
+    for _ in range(4):
+        bits = collocation.np.frombuffer(rng.randbytes(1 << 10), collocation.np.uint8) if share == 0.5 else None
+        if bits is None:
+            bits = collocation.np.packbits(collocation.np.random.default_rng(seed).random(1 << 13) < share)
+        filters.append(collocation.np.tile(bits, 1 << (collocation.BITS - 13)))
+    held = Counter()
+    for first, last, weight in collocation.segments(shard, filters):
+        for k in range(2, 5):
+            for i in range(first, last - k + 1):
+                held[i, k] += weight
+    want = {(i, k + 1) for k, (_, passed) in enumerate(collocation.runs(shard, filters)[:4]) if k for i in passed.nonzero()[0].tolist()}
+    assert {p for p, w in held.items() if w} == want and set(held.values()) <= {0, 1} and want
+
+
 def test_automaton_counts_every_substring():
     rng = random.Random(3)
     for _ in range(60):
