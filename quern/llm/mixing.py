@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD
+from quern.llm.common import WORD, written
 
 LEAF = ("domain", "lang", "source")
 #: Hexadecimal digits of a digest that tell its part of the range.
@@ -77,8 +77,15 @@ def leaf_budgets(leaves: DataFrame, share: tuple[int, int], epochs: int, weights
     return filled.select(*LEAF, "tokens", F.col("source_budget").alias("leaf_budget"))
 
 
-def with_leaves(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows (LEAF, name, ...) with their leaf's plan. The plan, a row for each leaf, is repeated for each salt."""
+def with_leaves(rows: DataFrame, plan: DataFrame, small: bool = False) -> DataFrame:
+    """Rows (LEAF, name, ...) with their leaf's plan.
+
+    A plan that is known to be small is sent to all tasks, and the rows stay
+    where they are. Otherwise the plan, a row for each leaf, is repeated for
+    each salt.
+    """
+    if small:
+        return rows.join(F.broadcast(plan), list(LEAF))
     salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     # Never null by its type, so no filter comes between and the exchange of the items is used again.
     dealt = rows.withColumn("salt", F.xxhash64("name").bitwiseAND(F.lit(SALTS - 1).cast("long")))
@@ -99,6 +106,7 @@ class Mix:
         text_col: str = "text",
         lang_col: str = "lang",
         source_col: str = "source",
+        broadcast_leaves: int = 100_000,
     ):
         self.columns, self.seed = docs.columns, seed
         none = F.lit("(none)")
@@ -126,7 +134,9 @@ class Mix:
             F.expr("case when tokens > 0 then leaf_budget div tokens else 0 end").alias("full_epochs"),
             F.expr("case when tokens > 0 then leaf_budget % tokens else 0 end").alias("rest"),
         )
-        self.plan = self.cutoffs(items, plan)
+        # Written, so that its size is known before whole rows are joined with it.
+        self.plan = written(self.cutoffs(items, plan))
+        self.small = self.plan.count() <= broadcast_leaves
 
     def digest(self) -> Column:
         """Where a document stands in the order of its leaf's last epoch."""
@@ -154,7 +164,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """Every row with ``copies``, how many epochs take it, where that is 1 at least."""
         copies = F.col("full_epochs") + (self.digest() <= F.col("cutoff")).cast("long")
-        return with_leaves(self.rows, self.plan).withColumn("copies", copies).where("copies > 0")
+        return with_leaves(self.rows, self.plan, self.small).withColumn("copies", copies).where("copies > 0")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -162,7 +172,9 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
     ``options`` are those of :class:`Mix`: the domain of a row and the weights
     of domains, languages and sources, each as a column; the budget as a
-    fraction of all tokens; the most epochs; the seed.
+    fraction of all tokens; the most epochs; the seed; and up to how many
+    leaves their plan is sent to all tasks, 100,000 by default, rather than
+    joined by a shuffle.
 
     A null domain, language or source is a leaf of its own, ``(none)``. Null
     and empty texts have no tokens; they are taken with the prefix they stand

@@ -82,6 +82,15 @@ def test_report_equals_brute_force(spark):
         assert got == plain(docs, share, epochs)
 
 
+def test_large_and_small_plans_give_the_same_rows(spark):
+    df = spark.createDataFrame(made(6, 150), SCHEMA)
+    small, large = (M.mix_report(df, **options(broadcast_leaves=n)) for n in (100_000, 0))
+    assert Counter(map(tuple, small.collect())) == Counter(map(tuple, large.collect())) == plain(made(6, 150))
+    for out, joins in ((small, 0), (large, 1)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (not joins) and plan.count("Join Inner") == 1
+
+
 def test_mix_repeats_rows_and_keeps_columns(spark):
     docs = made(4, 120)
     df = spark.createDataFrame(docs, SCHEMA)
