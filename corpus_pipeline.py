@@ -10,9 +10,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, entries, mixing, packing, repetition, segment_crf
-from quern.llm.common import checkpoint_dir, remove, table
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules reject go.
@@ -21,6 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for itself, very long texts whole. Other columns, whatever their names,
     stay as they are; an empty table stays empty.
     """
+    from quern.llm import repetition
+
     return repetition.keep_unrepetitive(docs)
 
 
@@ -31,6 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that share id and text, that whose columns have the least digest stays.
     Columns of any name stay as they are; an empty table stays empty.
     """
+    from quern.llm import chosen_path
+
     return chosen_path.keep_one_of_each(docs)
 
 
@@ -41,6 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     long ones are worked through whole. The model is fitted on this stage's
     input. Other columns are not looked at; an empty table stays empty.
     """
+    from quern.llm import segment_crf
+
     return segment_crf.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
@@ -51,6 +54,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing and go with the prefix they stand in; rows that share id and text
     are taken together. Columns of any name stay; an empty table stays empty.
     """
+    from quern.llm import entries, mixing
+
     return mixing.mix(docs, **entries.mix_options())
 
 
@@ -61,6 +66,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document's two epochs, are documents of their own; very long texts are cut
     into pieces. Other columns are not looked at; no documents, no pieces.
     """
+    from quern.llm import entries, packing
+
     return packing.pack_documents(docs, entries.tokenizer("word_bpe_49k.json"))
 
 
@@ -81,6 +88,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's rows are removed when the next one's are written; the last ones stay, as they are read by the caller.
     """
+    from quern.llm.common import checkpoint_dir, remove, table
+
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
