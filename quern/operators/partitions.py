@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.digests import ordered_digest
 from quern.operators.evaluate import assertions, require_all
 
 TRAIN, VALIDATION = "train", "validation"
@@ -70,11 +71,6 @@ def fold_audit(listed: DataFrame, episodes: DataFrame, key: str, scopes: dict[st
     return made.withColumn("passed", passed).drop("_found", "_total")
 
 
-def set_signature(key: Column) -> Column:
-    """Aggregate: a number that equal sets of distinct keys share, without gathering them."""
-    return F.sum(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)"))
-
-
 def collection_rules(listed: DataFrame, audits: DataFrame, once: Column) -> dict[str, DataFrame]:
     """What breaks a collection of folds, by rule.
 
@@ -82,11 +78,11 @@ def collection_rules(listed: DataFrame, audits: DataFrame, once: Column) -> dict
     that are marked ``once``, keys that aren't held out exactly once.
     """
     held = listed.where(F.col("side") == VALIDATION).select("fold_id", "key").distinct()
-    sets = held.groupBy("fold_id").agg(F.count("*").alias("n"), set_signature(F.col("key")).alias("signature"))
+    sets = ordered_digest(held, ["fold_id"], ["key"], "key", "\n", trailing=True)
     times = listed.where(once).groupBy("key").agg(F.count_if(F.col("side") == VALIDATION).alias("times"))
     return {
         "failed_fold": audits.where(~F.col("passed")),
-        "equal_validation_sets": sets.groupBy("n", "signature").count().where("count > 1"),
+        "equal_validation_sets": sets.groupBy("digest").count().where("count > 1"),
         "not_held_out_once": times.where("times <> 1"),
     }
 

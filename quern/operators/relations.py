@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.sampling import numbered_in_groups
+
 
 def coverage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Every key with the side that has it: ``both``, ``missing`` (only a) or ``extra`` (only b)."""
@@ -35,22 +37,21 @@ def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100
     more meet the documents' distinct words by an equi-join on the longest of
     their inner words, and only then are texts compared. The others, short
     ones or those of a script without spaces, meet the texts' distinct runs of
-    characters, as long as the passage's beginning, in the same way. A list of
-    passages that is small is sent to all tasks, so that texts stay where they
-    are.
+    characters, as long as the passage's beginning, in the same way. Documents
+    are told by their ids until then; a list of passages that is small is sent
+    to all tasks. A null id meets no text.
     """
     split = F.split(F.trim("text"), r"[ \t\n\r\f\x0B]+")
     small = passages.count() <= broadcast_rows
 
     def met(keys: DataFrame, lists: DataFrame, on: list[str]) -> DataFrame:
-        lists = F.broadcast(lists) if small else lists
-        return keys.join(lists, on).where(F.expr("contains(text, passage)")).select("doc_id", "item_id")
+        return keys.join(F.broadcast(lists) if small else lists, on).select("doc_id", "item_id", "passage")
 
     lists = passages.where("text is not null").select("item_id", F.col("text").alias("passage"), split.alias("w"))
     inner = F.slice("w", 2, F.size("w") - 2)
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     long = lists.where(F.size("w") > 2).select("item_id", "passage", longest.alias("word"))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(split)).alias("word"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(split)).alias("word"))
     found = met(words, long, ["word"])
     width = F.least(F.length("passage"), F.lit(START))
     short = lists.where(F.size("w") <= 2).select("item_id", "passage", width.alias("width"))
@@ -58,9 +59,11 @@ def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100
     if widths:
         sized = docs.select("doc_id", "text", F.explode(F.lit(widths).cast("array<int>")).alias("width")).where("length(text) >= width")
         runs = "array_distinct(transform(sequence(1, length(text) - width + 1), i -> substring(text, i, width)))"
-        starts = sized.select("doc_id", "text", "width", F.explode(F.expr(runs)).alias("start"))
+        starts = sized.select("doc_id", "width", F.explode(F.expr(runs)).alias("start"))
         found = found.unionByName(met(starts, short.withColumn("start", F.expr("left(passage, width)")), ["width", "start"]))
-    return found.distinct()
+    # Texts come back for what was met alone, by document.
+    own = docs.select("doc_id", "text").where("text is not null")
+    return found.distinct().join(own, "doc_id").where(F.expr("contains(text, passage)")).select("doc_id", "item_id").distinct()
 
 
 def coverage_rules(a: DataFrame, b: DataFrame, key: str, *, side: str | None = None, group: str | None = None) -> dict[str, DataFrame]:
@@ -110,18 +113,57 @@ def with_runs(candidates: DataFrame, runs: DataFrame, key: str) -> DataFrame:
 
 
 def same_sets(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, n_a, n_b, same_set): whether both have the same keys in a group of ``a``; repeats count."""
-    from quern.operators.partitions import set_signature
+    """(group, n_a, n_b, same_set): whether both have the same keys in a group of ``a``; repeats count.
 
-    x, y = (
-        t.groupBy(group).agg(F.count("*").alias(f"n_{s}"), set_signature(F.col(key)).alias(f"_{s}")) for t, s in ((a, "a"), (b, "b"))
-    )
-    same = F.coalesce((F.col("_a") == F.col("_b")) & (F.col("n_a") == F.col("n_b")), F.lit(False))
-    return x.join(y, group, "left").select(group, "n_a", F.coalesce("n_b", F.lit(0)).alias("n_b"), same.alias("same_set"))
+    Keys are counted and met one by one, so neither a set nor a stand-in for it is gathered.
+    """
+    per_key = lambda t, name: t.groupBy(group, key).agg(F.count("*").alias(name))
+    met = per_key(a, "_a").join(per_key(b, "_b"), [group, key], "full")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = met.groupBy(group).agg(n("_a").alias("n_a"), n("_b").alias("n_b"), F.every(F.col("_a").eqNullSafe(F.col("_b"))).alias("same_set"))
+    return sums.where("n_a > 0")
+
+
+def placed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``place``, from 1, in each group; a group of any size is numbered by ranges."""
+    return numbered_in_groups(rows, by, order, "place", "_size").drop("_size")
 
 
-def ordered_lists(rows: DataFrame, key: str, order: str, values: dict[str, Column]) -> DataFrame:
-    """(key, a list for each value) in one order, so that lists of several tables can be held against each other; groups are bounded."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), *[v.alias(n) for n, v in values.items()])))
-    made = rows.groupBy(key).agg(listed.alias("_l"))
-    return made.select(key, *[F.col("_l").getField(n).alias(n) for n in values])
+def _sequence_digest(rows: DataFrame, by: list[str], columns: list[str], name: str) -> DataFrame:
+    """(by..., ``name``): what equal sequences share: length, and sums of two 64-bit digests of each place and what stands there."""
+    one = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)"))
+    return rows.groupBy(*by).agg(F.struct(F.count("*").alias("n"), one(1).alias("x"), one(2).alias("y")).alias(name))
+
+
+def sequence_evidence(expected: DataFrame, others: dict[str, DataFrame], by: list[str], ident: str, values: list[str]) -> DataFrame:
+    """Where tables depart from the expected sequences: (source, by..., ident, expected_place, place, status).
+
+    All are rows (by..., place, ident, values...), as :func:`placed` makes
+    them. Groups whose sequences have the same digest are equal and end there.
+    Of the others, rows meet by what they are called, the first of a name with
+    the first, and so on: ``missing`` and ``extra`` ones are on one side
+    alone, ``misplaced`` ones elsewhere, ``changed`` ones have other values,
+    and a row may be both. No group is gathered.
+    """
+    own = [*by, ident, "place", *values]
+    digest = ["place", ident, *values]
+    nth = F.row_number().over(Window.partitionBy(*by, ident).orderBy("place"))
+    base, known = expected.select(*own), _sequence_digest(expected, by, digest, "_e")
+    out = None
+    for source, rows in others.items():
+        rows = rows.select(*own)
+        sides = known.join(_sequence_digest(rows, by, digest, "_o"), by, "full").where(~F.col("_e").eqNullSafe(F.col("_o"))).select(*by)
+        want, have = (t.join(sides, by, "left_semi").withColumn("_nth", nth) for t in (base, rows))
+        want = want.select(*by, ident, "_nth", F.col("place").alias("expected_place"), F.struct(*values).alias("_want"))
+        have = have.select(*by, ident, "_nth", "place", F.struct(*values).alias("_have"))
+        met = want.join(have, [*by, ident, "_nth"], "full")
+        faults = F.array_compact(
+            F.array(
+                F.when(F.col("expected_place") != F.col("place"), "misplaced"),
+                F.when(F.col("expected_place").isNotNull() & F.col("place").isNotNull() & ~F.col("_want").eqNullSafe(F.col("_have")), "changed"),
+            )
+        )
+        status = F.when(F.col("place").isNull(), "missing").when(F.col("expected_place").isNull(), "extra").otherwise(F.array_join(faults, "+"))
+        one = met.select(F.lit(source).alias("source"), *by, ident, "expected_place", "place", status.alias("status")).where("status <> ''")
+        out = one if out is None else out.unionByName(one)
+    return out

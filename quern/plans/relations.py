@@ -29,13 +29,17 @@ def left_enrich(spark, d):
     )
 
 
-@query("""WITH hit AS (SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
-  WHERE len(string_split_regex(trim(b.text), '[ \\t\\n\\r\\f\\v]+')) > 2)
+@query("""WITH b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - item_id, array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark WHERE item_id % 5 = 0),
+hit AS (SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN b ON contains(d.text, b.text))
 SELECT source, count(DISTINCT doc_id) AS leaked_docs, count(DISTINCT item_id) AS leaked_items
 FROM hit JOIN documents USING (doc_id) GROUP BY source""")
 def anti_semi_leakage(spark, d):
+    """Documents that hold passages of the benchmark, or the first two words of one in five."""
     docs = table(spark, d, "documents")
-    hits = relations.contained_in(docs.select("doc_id", "text"), table(spark, d, "benchmark"))
+    items = table(spark, d, "benchmark")
+    two = F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text")
+    short = items.where("item_id % 5 = 0").select((-1 - F.col("item_id")).alias("item_id"), two)
+    hits = relations.contained_in(docs.select("doc_id", "text"), items.select("item_id", "text").unionByName(short))
     return (
         hits.join(docs.select("doc_id", "source"), "doc_id")
         .groupBy("source")
