@@ -41,6 +41,8 @@ BITS = 26
 PIECE_BITS = 15
 #: What a task gathers of texts, of counts, and of words for one automaton.
 SLICE_BYTES, MOST_COUNTS, MOST_TOKENS = 2 << 20, 1 << 20, 400_000
+#: Words of a shard whose phrases are counted together, if the scan's tasks have less: more of a phrase's occurrences meet before the shuffle.
+SHARD_WORDS = 24_000_000
 #: Longer runs are cut.
 LONGEST_RUN = 20_000
 
@@ -324,7 +326,9 @@ def phrase_counts(texts: DataFrame, least: int, most_words: int) -> DataFrame:
     while len(filters) < most_words:
         counts = texts.mapInArrow(_count_runs(list(filters)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         filters.append(sc.broadcast(_bitmap(counts.where(F.col("n") >= least))))
-    phrases = texts.mapInArrow(_count_phrases(filters, most_words), "lang string, phrase string, n long")
+    in_all = words.where("phrase is null").agg(F.sum("n")).first()[0] or 0
+    shards = texts.coalesce(1 + in_all // SHARD_WORDS)  # never more than there are
+    phrases = shards.mapInArrow(_count_phrases(filters, most_words), "lang string, phrase string, n long")
     phrases = checkpointed(phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     for f in filters:
         f.destroy()
