@@ -40,7 +40,7 @@ BITS = 26
 #: Bits of one piece of a bitmap; what ``bitmap_construct_agg`` makes.
 PIECE_BITS = 15
 #: What a task gathers of texts, of counts, and of words for one automaton.
-SLICE_BYTES, MOST_COUNTS, MOST_TOKENS = 2 << 20, 1 << 20, 400_000
+SLICE_BYTES, MOST_COUNTS, MOST_TOKENS = 2 << 20, 1 << 20, 200_000
 #: Words of a shard whose phrases are counted together, if the scan's tasks have less: more of a phrase's occurrences meet before the shuffle.
 SHARD_WORDS = 24_000_000
 #: Longer runs are cut.
