@@ -26,21 +26,6 @@ def threshold_hex(fraction: float) -> str:
     return f"{int(fraction * 2**64):016x}"
 
 
-#: The longest list of keys that one digest is made of.
-MOST_KEYS = 1 << 20
-
-
-def bounded(values: Column, most: int = MOST_KEYS) -> Column:
-    """A gathered list; one that is longer than the bound raises an error."""
-    return F.when(F.size(values) > most, F.raise_error(F.lit(f"a list of more than {most} keys"))).otherwise(values)
-
-
-def set_fingerprint(key: Column, trailing: bool = True) -> Column:
-    """Aggregate: digest of the sorted distinct keys, a line each; for sets of ``MOST_KEYS`` at most, and an error beyond."""
-    lines = F.array_join(F.array_sort(bounded(F.collect_set(key))), "\n")
-    return F.sha2(F.concat(lines, F.lit("\n")) if trailing else lines, 256)
-
-
 def group_id(kind: str, hexdigest: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.substring(hexdigest, 1, 20))
 

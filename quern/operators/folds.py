@@ -1,11 +1,8 @@
-"""Holdouts and folds over units, which a catalogue has some hundreds of."""
+"""Holdouts over units."""
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import keys
@@ -28,84 +25,6 @@ def group_holdout(units: DataFrame, key: str, seed: str, fraction: float) -> Dat
     return placed.select(key, "score", is_val.alias("is_val"))
 
 
-def unit_score(seed: str, text: str) -> int:
-    return int.from_bytes(hashlib.sha256(f"{seed}:{text}".encode()).digest()[:8], "big")
-
-
-def improved_subset(weights: dict[str, float], seed: str, fraction: float) -> set[str]:
-    """Units whose weight comes near a fraction of all: by score at first, then by the best toggle or swap while one helps."""
-    ids, target = sorted(weights), fraction * sum(weights.values())
-    score = {u: unit_score(seed, u) for u in ids}
-    chosen = {u for u in ids if score[u] < fraction * 2**64}
-    total = sum(weights.values())
-    if not chosen:
-        chosen = {min(ids, key=lambda u: (abs(weights[u] - target), score[u], u))}
-    elif len(chosen) == len(ids) and len(ids) > 1:
-        chosen.remove(min(ids, key=lambda u: (abs(total - weights[u] - target), score[u], u)))
-    while True:
-        held = sum(weights[u] for u in sorted(chosen))
-        error, best = abs(held - target), None
-        moves = []
-        for u in ids:
-            size = len(chosen) + (-1 if u in chosen else 1)
-            if 1 <= size <= len(ids) - 1:
-                sign, verb = (-1, "remove") if u in chosen else (1, "add")
-                moves.append((abs(held + sign * weights[u] - target), verb, (u,), chosen ^ {u}))
-        for old in sorted(chosen):
-            for new in ids:
-                if new not in chosen:
-                    moves.append((abs(held - weights[old] + weights[new] - target), "swap", (old, new), (chosen - {old}) | {new}))
-        for e, verb, who, after in moves:
-            if e < error - 1e-9:
-                rank = (e, unit_score(seed, ":".join((verb, *who))), verb, who)
-                if best is None or rank < best[0]:
-                    best = (rank, after)
-        if best is None:
-            return chosen
-        chosen = best[1]
-
-
-def seeded_holdouts(units: DataFrame, key: str, weight: Column, seeds: list[str], fraction: float) -> DataFrame:
-    """(fold_id, key, side) for each seed. Each seed's search is a task of its own, over the table of units."""
-    names = [(f"seeded_group_{i:02d}_seed_{s}", s) for i, s in enumerate(seeds)]
-    spark = units.sparkSession
-    rows = units.select(F.col(key).cast("string").alias("k"), weight.cast("double").alias("w"))
-    per_seed = rows.join(F.broadcast(spark.createDataFrame(names, "fold_id string, seed string")))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        held = improved_subset(dict(zip(part["k"], part["w"], strict=True)), part["seed"].iloc[0], fraction)
-        return pd.DataFrame({"fold_id": part["fold_id"], key: part["k"], "side": ["val" if k in held else "train" for k in part["k"]]})
-
-    return per_seed.groupBy("fold_id").applyInPandas(run, f"fold_id string, {key} string, side string")
-
-
-def packed_units(weights: dict[str, float], minimum: float, seed: str) -> dict[str, int]:
-    """The fold of each unit: large ones alone, small ones in bundles that are filled evenly."""
-    small = {u: w for u, w in weights.items() if w < minimum}
-    folds = {u: i for i, u in enumerate(sorted(set(weights) - set(small)))}
-    if small:
-        bundles = min(len(small), max(1, int(sum(small.values()) // minimum)))
-        load = [0.0] * bundles
-        for u in sorted(small, key=lambda u: (-small[u], unit_score(seed, u), u)):
-            b = min(range(bundles), key=lambda b: (load[b], unit_score(seed, f"bundle:{b}:{u}")))
-            load[b] += small[u]
-            folds[u] = len(weights) - len(small) + b
-    return folds
-
-
-def leave_out_folds(units: DataFrame, key: str, weight: Column, minimum: float, seed: str) -> DataFrame:
-    """(fold_id, key): each unit is held out in one fold."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        folds = packed_units(dict(zip(part["k"], part["w"], strict=True)), minimum, seed)
-        order = sorted(set(folds.values()), key=lambda f: sorted(u for u in folds if folds[u] == f))
-        number = {f: i for i, f in enumerate(order)}
-        return pd.DataFrame({"fold_id": [f"leave_owner_out_{number[folds[k]]:02d}" for k in part["k"]], key: part["k"]})
-
-    rows = units.select(F.col(key).cast("string").alias("k"), weight.cast("double").alias("w"))
-    return rows.groupBy().applyInPandas(run, f"fold_id string, {key} string")
-
-
 def coverage_of_folds(folds: DataFrame, key: str) -> DataFrame:
     """(key, times, once): how often each key is held out."""
     return folds.groupBy(key).agg(F.count("*").alias("times")).withColumn("once", F.col("times") == 1)

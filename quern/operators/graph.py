@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import keys
+from quern.operators.digests import ordered_digest
 from quern.storage import checkpointed
 
 
@@ -37,34 +37,54 @@ def components(edges: DataFrame) -> DataFrame:
 def linked_repositories(members: DataFrame, group: str, repository: str) -> DataFrame:
     """(repository, component) of repositories that share duplicates; ``repo:`` and its name for one alone.
 
-    The id is a digest of all names, so a component has ``keys.MOST_KEYS`` at most; more raise an error.
+    The id is a digest of all names in order, of components of any size.
     """
     pairs = members.select(F.col(group).alias("g"), F.col(repository).alias("r")).distinct()
     first = pairs.groupBy("g").agg(F.min("r").alias("a"))
     edges = pairs.join(first, "g").select("a", F.col("r").alias("b")).distinct()
-    found = components(edges)
-    names = keys.bounded(F.array_sort(F.collect_list("node")))
-    ids = found.groupBy("root").agg(names.alias("names"))
-    linked = F.concat(F.lit("linked-repos:"), F.substring(F.sha2(F.array_join("names", "\n"), 256), 1, 20))
-    one = F.concat(F.lit("repo:"), F.col("names")[0])
-    return ids.select(F.explode("names").alias(repository), F.when(F.size("names") > 1, linked).otherwise(one).alias("component"))
+    found = checkpointed(components(edges))
+    digests = ordered_digest(found, ["root"], ["node"], "node")
+    ids = digests.join(found.groupBy("root").agg(F.count("*").alias("n")), "root")
+    linked = F.concat(F.lit("linked-repos:"), F.substring("digest", 1, 20))
+    named = ids.select("root", F.when(F.col("n") > 1, linked).otherwise(F.concat(F.lit("repo:"), "root")).alias("component"))
+    return found.join(named, "root").select(F.col("node").alias(repository), "component")
 
 
-def leakage_units(episodes: DataFrame, owner: Column, group: Column, frames: Column) -> DataFrame:
-    """Units of episodes that owners and groups connect: unit_id, owners, groups, episode_count, frame_count.
+def _quoted(name: Column) -> Column:
+    """A string as JSON."""
+    made = F.to_json(F.struct(name.alias("x")))
+    return F.substring(made, F.lit(6), F.length(made) - 6)
 
-    A unit's id is a digest of its owners and groups, so it has ``keys.MOST_KEYS`` of each at most; more raise an error.
+
+def unit_members(episodes: DataFrame, owner: Column, group: Column, frames: Column) -> DataFrame:
+    """(root, owner, grp, episodes, frames): a row for each pair of owner and group, with the unit that both are in.
+
+    Episodes are counted first, so that what comes together in a unit is a row for each pair.
     """
     rows = episodes.select(owner.cast("string").alias("owner"), group.cast("string").alias("grp"), frames.cast("long").alias("frames"))
-    # Sums first, so that what comes together in a unit is a row for each pair of owner and group.
     rows = rows.groupBy("owner", "grp").agg(F.count("*").alias("episodes"), F.sum("frames").alias("frames"))
     edges = rows.select(F.concat(F.lit("owner:"), "owner").alias("a"), F.concat(F.lit("group:"), "grp").alias("b"))
-    roots = components(edges)
-    units = rows.withColumn("node", F.concat(F.lit("owner:"), "owner")).join(roots, "node").groupBy("root").agg(
-        keys.bounded(F.array_sort(F.collect_set("owner"))).alias("owners"),
-        keys.bounded(F.array_sort(F.collect_set("grp"))).alias("groups"),
-        F.sum("episodes").cast("long").alias("episode_count"),
-        F.sum("frames").cast("long").alias("frame_count"),
-    )
-    name = keys.canonical_json_digest(F.col("owners"), F.col("groups").alias("validation_groups"))
-    return units.select(F.concat(F.lit("leakage-unit:"), F.substring(name, 1, 20)).alias("unit_id"), "owners", "groups", "episode_count", "frame_count")
+    return rows.withColumn("node", F.concat(F.lit("owner:"), "owner")).join(components(edges), "node").drop("node")
+
+
+def leakage_units(members: DataFrame) -> DataFrame:
+    """(root, unit_id, n_owners, n_groups, episode_count, frame_count) of :func:`unit_members`, units of any size.
+
+    A unit's id is the digest of the JSON of its owners and groups, each in
+    order. The JSON is never there as a whole: its pieces go through a running
+    digest, a list's first name without the comma that the others have.
+    """
+    lists = [("owners", "owner", '{"owners":['), ("groups", "grp", '],"validation_groups":[')]
+    pieces = None
+    for at, (_, name, head) in enumerate(lists):
+        own = members.select("root", F.col(name).alias("name")).distinct()
+        first = own.groupBy("root").agg(F.min("name").alias("first"))
+        text = F.concat(F.when(F.col("name") == F.col("first"), F.lit(head)).otherwise(F.lit(",")), _quoted(F.col("name")))
+        one = own.join(first, "root").select("root", F.lit(at).alias("at"), "name", text.alias("text"))
+        pieces = one if pieces is None else pieces.unionByName(one)
+    ends = members.select("root").distinct().select("root", F.lit(len(lists)).alias("at"), F.lit("").alias("name"), F.lit("]}").alias("text"))
+    named = ordered_digest(pieces.unionByName(ends), ["root"], ["at", "name"], "text", "")
+    sums = members.groupBy("root").agg(F.sum("episodes").cast("long").alias("episode_count"), F.sum("frames").cast("long").alias("frame_count"))
+    sizes = pieces.groupBy("root").agg(*[F.count_if(F.col("at") == at).alias(f"n_{n}") for at, (n, *_) in enumerate(lists)])
+    unit_id = F.concat(F.lit("leakage-unit:"), F.substring("digest", 1, 20)).alias("unit_id")
+    return named.join(sums, "root").join(sizes, "root").select("root", unit_id, "n_owners", "n_groups", "episode_count", "frame_count")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,18 +81,28 @@ def exact_file_groups(files: DataFrame, kind: str = "file") -> DataFrame:
 
 
 def vector_audit(rows: DataFrame, by: list[str], index: str, vector: str) -> DataFrame:
-    """For each group and dimension of its vectors: n, least, most, mean, std, finite, and whether indices are there once."""
-    long = rows.select(*by, index, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    """For each group and dimension of its vectors: n, least, most, mean, std, finite, and whether indices are there once.
+
+    Indices are compared once a group, not once a dimension: up to the width of
+    the second widest vector of an index, or of any without one, each
+    dimension has an index twice.
+    """
+    long = rows.select(*by, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf"))
-    return long.groupBy(*by, "dim").agg(
+    sums = long.groupBy(*by, "dim").agg(
         F.count("*").alias("n"),
         F.min("x").alias("least"),
         F.max("x").alias("most"),
         F.avg("x").alias("mean"),
         F.stddev_pop("x").alias("std"),
         F.every(finite).alias("finite"),
-        (F.count_distinct(index) == F.count("*")).alias("unique_index"),
     )
+    nth = F.row_number().over(Window.partitionBy(*by, index).orderBy(F.desc("_width")))
+    widths = rows.select(*by, index, F.size(vector).alias("_width")).withColumn("_nth", nth)
+    again = widths.where((F.col("_nth") == 2) | F.col(index).isNull()).groupBy(*[F.col(b).alias(f"_by_{b}") for b in by])
+    own = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by], F.lit(True))
+    met = sums.join(again.agg(F.max("_width").alias("_twice")), own, "left").drop(*[f"_by_{b}" for b in by])
+    return met.withColumn("unique_index", F.col("dim") >= F.coalesce("_twice", F.lit(0))).drop("_twice")
 
 
 def tree_digests(files: DataFrame, by: list[str], order: str, name: str, content: str) -> DataFrame:

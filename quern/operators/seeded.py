@@ -23,21 +23,3 @@ def random_starts(episodes: DataFrame, key: str, length: str, *, windows: int, s
 
     kind = dict(episodes.dtypes)[key]
     return episodes.select(key, length).mapInPandas(run, f"{key} {kind}, window int, start long")
-
-
-def shuffled_split(units: DataFrame, key: str, fraction: float, seed: int, side: str = "side") -> DataFrame:
-    """(key, side) of a small table of units: shuffled in the order of their keys, the first ones held out.
-
-    ``units`` is what a catalogue of collections has, some thousand rows; it
-    is shuffled as a whole, as the generator asks for.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(part[key])
-        random.Random(seed).shuffle(names)
-        held = int(len(names) * fraction)
-        held = max(1, held) if fraction > 0 and len(names) > 1 else held
-        return pd.DataFrame({key: names, side: ["val"] * held + ["train"] * (len(names) - held)})
-
-    kind = dict(units.dtypes)[key]
-    return units.select(key).groupBy().applyInPandas(run, f"{key} {kind}, {side} string")

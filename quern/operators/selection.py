@@ -111,15 +111,6 @@ def pair_rules(a: DataFrame, b: DataFrame, key: str, same: list[str], donors: tu
     return rules
 
 
-def grid(spark, axes: dict[str, list], keep: Column | None = None) -> DataFrame:
-    """The candidates of a small grid, named by their place: (candidate, one column for each axis)."""
-    rows = spark.range(1).select()
-    for name, values in axes.items():
-        rows = rows.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    rows = rows if keep is None else rows.where(keep)
-    return rows.select(F.concat_ws("_", *[F.concat(F.lit(f"{n}-"), F.col(n).cast("string")) for n in axes]).alias("candidate"), *axes)
-
-
 def metric_report(rows: DataFrame, domain: str, ranking: str, metrics: list[str]) -> DataFrame:
     """(scope, n, metrics): the sample-weighted mean of all, and the unweighted mean of the worst quarter of domains.
 

@@ -103,14 +103,6 @@ def pair_contract(spark, d):
     return evaluate.assertions(selection.pair_rules(docs, control, "doc_id", ["lang", "n_chars"], ("donor", "doc_id")))
 
 
-@query("""SELECT 'rate-' || rate || '_depth-' || depth || '_mode-' || mode AS candidate, rate, depth, mode
-FROM (VALUES (1), (2)) AS a(rate), (VALUES (4), (8)) AS b(depth), (VALUES ('x'), ('y'), ('z')) AS c(mode) WHERE NOT (rate = 2 AND mode = 'z')""")
-def candidate_grid(spark, d):
-    """The variants of a small grid, without those that contradict themselves."""
-    keep = ~((F.col("rate") == 2) & (F.col("mode") == "z"))
-    return selection.grid(spark, {"rate": [1, 2], "depth": [4, 8], "mode": ["x", "y", "z"]}, keep)
-
-
 L = """l AS (SELECT l_suppkey, l_quantity AS err, l_linenumber::DOUBLE AS tax FROM lineitem), m AS (SELECT l_suppkey, count(*) AS n, avg(err) AS err, avg(tax) AS tax FROM l GROUP BY 1),
 w AS (SELECT *, row_number() OVER (ORDER BY err DESC, l_suppkey) AS rn, count(*) OVER () AS c FROM m)"""
 

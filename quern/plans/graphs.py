@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import keys
 from quern.operators import folds, graph
-from quern.operators.seeded import shuffled_split
 from quern.plans.registry import query
+from quern.storage import checkpointed
 from quern.tables import table
 
 #: Customers with balances in one of two overlapping grids of cells are linked.
@@ -30,17 +30,29 @@ def components(spark, d):
     return graph.components(cells.select(F.concat(F.lit("a"), "a").alias("a"), F.concat(F.lit("b"), "b").alias("b")))
 
 
-@query(f"""WITH RECURSIVE {REACH}, o AS (SELECT o_custkey AS c_custkey, count(*) AS frames FROM orders GROUP BY 1),
+UNITS = f"""{REACH}, o AS (SELECT o_custkey AS c_custkey, count(*) AS frames FROM orders GROUP BY 1),
 j AS (SELECT root, a::VARCHAR AS owner, b::VARCHAR AS grp, coalesce(frames, 0) AS frames FROM c LEFT JOIN o USING (c_custkey) JOIN roots ON node = 'a' || a),
-g AS (SELECT root, count(*) AS episode_count, sum(frames)::BIGINT AS frame_count, list_sort(list(DISTINCT owner)) AS owners, list_sort(list(DISTINCT grp)) AS grps FROM j GROUP BY root)
-SELECT 'leakage-unit:' || substr(sha256('{{"owners":["' || array_to_string(owners, '","') || '"],"validation_groups":["' || array_to_string(grps, '","') || '"]}}'), 1, 20) AS unit_id,
-  array_to_string(owners, ',') AS owners, array_to_string(grps, ',') AS groups, episode_count, frame_count FROM g""")
-def leakage_units(spark, d):
+g AS (SELECT root, count(*) AS episode_count, sum(frames)::BIGINT AS frame_count, list_sort(list(DISTINCT owner)) AS owners, list_sort(list(DISTINCT grp)) AS grps FROM j GROUP BY root),
+i AS (SELECT *, 'leakage-unit:' || substr(sha256('{{"owners":["' || array_to_string(owners, '","') || '"],"validation_groups":["' || array_to_string(grps, '","') || '"]}}'), 1, 20) AS unit_id FROM g)"""
+
+
+def _unit_members(spark, d):
     orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("frames"))
     rows = _cells(spark, d).join(orders, "c_custkey", "left")
-    units = graph.leakage_units(rows, F.col("a"), F.col("b"), F.coalesce("frames", F.lit(0)))
-    lists = [F.array_join(c, ",").alias(c) for c in ("owners", "groups")]
-    return units.select("unit_id", *lists, "episode_count", "frame_count")
+    return checkpointed(graph.unit_members(rows, F.col("a"), F.col("b"), F.coalesce("frames", F.lit(0))))
+
+
+@query(f"WITH RECURSIVE {UNITS} SELECT unit_id, len(owners) AS n_owners, len(grps) AS n_groups, episode_count, frame_count FROM i")
+def leakage_units(spark, d):
+    return graph.leakage_units(_unit_members(spark, d)).drop("root")
+
+
+@query(f"WITH RECURSIVE {UNITS} SELECT unit_id, 'owner' AS kind, unnest(owners) AS name FROM i UNION ALL SELECT unit_id, 'group', unnest(grps) FROM i")
+def leakage_members(spark, d):
+    """The owners and groups of each unit, a row for each."""
+    members = _unit_members(spark, d)
+    names = F.array(F.struct(F.lit("owner").alias("kind"), F.col("owner").alias("name")), F.struct(F.lit("group").alias("kind"), F.col("grp").alias("name")))
+    return members.select("root", F.inline(names)).distinct().join(graph.leakage_units(members).select("root", "unit_id"), "root").drop("root")
 
 
 @query("""WITH RECURSIVE d AS (SELECT DISTINCT sha256(text) AS sha, source FROM documents), f AS (SELECT sha, min(source) AS a FROM d GROUP BY sha),
@@ -80,23 +92,3 @@ SELECT c_custkey, count(*) AS times, count(*) = 1 AS once FROM f GROUP BY c_cust
 def loo_coverage(spark, d):
     held = table(spark, d, "customer").select(F.concat(F.lit("leave_"), "c_nationkey").alias("fold_id"), "c_custkey")
     return folds.coverage_of_folds(held, "c_custkey")
-
-
-def _nations(spark, d):
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-
-
-@query()
-def seeded_improve(spark, d):
-    return folds.seeded_holdouts(_nations(spark, d), "c_nationkey", F.col("n"), ["7", "11", "19"], 0.3)
-
-
-@query()
-def loo_packing(spark, d):
-    units = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return folds.leave_out_folds(units, "source", F.col("n"), 60.0, "23")
-
-
-@query()
-def seeded_shuffle(spark, d):
-    return shuffled_split(table(spark, d, "documents").select("source").distinct(), "source", 0.2, 0)

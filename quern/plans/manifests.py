@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import keys
-from quern.operators import quality
+from quern.operators import artifacts, quality
 from quern.plans.registry import query
 from quern.tables import table
 
@@ -113,7 +113,7 @@ def hash_score(spark, d):
 FROM documents GROUP BY source""")
 def set_fingerprint(spark, d):
     key = F.lpad(F.col("doc_id").cast("string"), 9, "0")
-    return table(spark, d, "documents").groupBy("source").agg(keys.set_fingerprint(key).alias("fingerprint"))
+    return artifacts.fingerprints(table(spark, d, "documents").select("source", key.alias("key")), ["source"])
 
 
 @query("""SELECT doc_id, doc_id // 1000 AS chunk, 'data/chunk-' || lpad((doc_id // 1000)::VARCHAR, 3, '0') || '/' || source || '/episode_' ||

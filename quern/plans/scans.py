@@ -154,18 +154,43 @@ def stats_checks(spark, d):
     )
 
 
-@query("""SELECT event_id, CASE WHEN json_extract(props, '$.k')::INT > 50 THEN 'k' ELSE '' END AS forbidden, false AS repeated,
+@query("""SELECT event_id, CASE WHEN json_extract(props, '$.k')::INT > 50 THEN 'k' ELSE '' END AS forbidden, json_extract(props, '$.k')::INT % 7 = 0 AS repeated,
   CASE WHEN json_extract(props, '$.k')::INT > 50 THEN 4 ELSE 1 END::INT AS depth FROM events""")
 def forbidden_keys(spark, d):
     """Nested documents made of event properties: which forbidden names they have at any depth, and whether a name is there twice."""
     k = F.get_json_object("props", "$.k").cast("int")
-    nested = F.concat(F.lit('{"a": [{"b": '), F.col("props"), F.lit("}]}"))
-    flat = F.concat(F.lit('{"a": '), k.cast("string"), F.lit("}"))
+    again = F.when(k % 7 == 0, F.lit(', "a": 0}')).otherwise(F.lit("}"))
+    nested = F.concat(F.lit('{"a": 0, "c": [{"b": '), F.col("props"), F.lit("}]"), again)
+    flat = F.concat(F.lit('{"a": '), k.cast("string"), again)
     rows = table(spark, d, "events").select("event_id", F.when(k > 50, nested).otherwise(flat).alias("doc"))
     out = documents.json_faults(rows, "event_id", "doc", ("k", "secret"))
     return out.select("event_id", F.array_join("forbidden", ",").alias("forbidden"), "repeated", "depth")
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 5 AS m, json_extract(props, '$.k')::INT AS k FROM events)
+SELECT event_id, '$.runInfo.evalScore' AS path, 'score' AS found, 'name' AS kind FROM e WHERE m = 0
+UNION ALL SELECT event_id, '$.runInfo.items[1].featureMap', 'feature', 'name' FROM e WHERE m = 0
+UNION ALL SELECT event_id, '$.from', 'submission_kit', 'value' FROM e WHERE m = 1
+UNION ALL SELECT event_id, '$.list[0][1].kit-score', 'score', 'name' FROM e WHERE m = 1 AND k > 50
+UNION ALL SELECT event_id, '$.b', 'a', 'repeated' FROM e WHERE m = 3
+UNION ALL SELECT event_id, '$', NULL, 'malformed' FROM e WHERE m = 4 AND k > 50""")
+def forbidden_paths(spark, d):
+    """Documents of five kinds made of event properties: where they have forbidden names or values, repeated names, or are no JSON."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    number = k.cast("string")
+    score = F.when(k > 50, "kit-score").otherwise("kit")
+    docs = [
+        F.concat(F.lit('{"runInfo": {"evalScore": '), number, F.lit(', "items": [{"x": "scoreless"}, {"featureMap": {"y": 1}}]}}')),
+        F.concat(F.lit('{"submission_kit_used": false, "from": "Data/Submission Kit/v1", "list": [[1, {"'), score, F.lit('": 2}]]}')),
+        F.concat(F.lit('{"plain": {"deep": {"deeper": ['), number, F.lit(', null, "scores"]}}}')),
+        F.concat(F.lit('{"a": 1, "b": {"a": 2, "a": '), number, F.lit("}}")),
+        F.concat(F.lit('{"a": '), F.when(k > 50, F.lit("")).otherwise(number), F.lit("}")),
+    ]
+    doc = F.element_at(F.array(*docs), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, d, "events").select("event_id", doc.alias("doc"))
+    return documents.forbidden_paths(rows, "event_id", "doc", ("score", "feature", "submission"), ("submission_kit_used",), ("submission_kit",))
+
+
 @query("""SELECT o_orderkey, lpad((s // 86400)::VARCHAR, 2, '0') || ':' || lpad((s // 3600 % 24)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' ||
   lpad((s % 60)::VARCHAR, 2, '0') AS duration FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS s FROM orders)""")
 def duration(spark, d):

@@ -1,5 +1,6 @@
 """Known vectors and edge cases of functions and operators."""
 
+import math
 import random
 
 import pytest
@@ -68,13 +69,17 @@ def test_components_against_union_find(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_seeded_folds_come_near_the_target():
-    weights = {f"u{i}": float(1 + i % 7) for i in range(18)}
-    held = folds.improved_subset(weights, "7", 0.3)
-    assert held == folds.improved_subset(weights, "7", 0.3)
-    assert abs(sum(weights[u] for u in held) - 0.3 * sum(weights.values())) <= 1
-    packed = folds.packed_units(weights, 5.0, "23")
-    assert sorted(packed) == sorted(weights)
+def test_vector_audit_of_ragged_vectors(spark):
+    """Each dimension's indices are compared as a distinct count would; nulls are never there once."""
+    rows = [("a", 1, [1.0, 2.0, 3.0]), ("a", 1, [4.0]), ("a", 2, [5.0, float("nan")]), ("b", 1, [1.0]), ("b", 2, [2.0]), ("c", None, [1.0]), ("c", 3, [1.0, 2.0]), (None, 1, [1.0])]
+    df = spark.createDataFrame(rows, "g string, i int, v array<double>")
+    found = {(r.g, r.dim): (r.n, r.finite, r.unique_index) for r in quality.vector_audit(df, ["g"], "i", "v").collect()}
+    want = {}
+    for g in ("a", "b", "c", None):
+        for dim in range(3):
+            if own := [(i, v[dim]) for h, i, v in rows if h == g and len(v) > dim]:
+                want[g, dim] = (len(own), all(math.isfinite(x) for _, x in own), len({i for i, _ in own if i is not None}) == len(own))
+    assert found == want
 
 
 def test_checks(spark):
