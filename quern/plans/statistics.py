@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import series
-from quern.operators import quality, stats, temporal
+from quern.operators import fitted, quality, stats, temporal
 from quern.plans.registry import query
 from quern.plans.windows import KEYS, ORDER, E, W, events
+from quern.storage import new_path
 from quern.tables import table
 
 
@@ -189,3 +190,26 @@ def reparameterized(spark, d):
     w, b = stats.reparameterized(weight, F.lit(0.5), (F.col("c0"), F.col("s0")), (F.col("center"), F.col("scale")))
     rows = made.join(F.broadcast(old)).select("label", w.alias("w"), b.alias("bias"))
     return rows.select("label", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("weights"), F.round("bias", 6).alias("bias"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS dim FROM embeddings),
+s AS (SELECT CASE WHEN vec_id % 5 = 0 THEN 'validation' ELSE 'train' END AS side, * FROM e),
+p AS (SELECT side, sha256(string_agg(DISTINCT vec_id::VARCHAR, chr(10) ORDER BY vec_id::VARCHAR) || chr(10)) AS fingerprint FROM s GROUP BY side)
+SELECT side, fingerprint, dim::INT AS dim, count(*) AS n, round(avg(x), 8) AS mean, round(greatest(sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)), 0.001), 6) AS std, true AS reused
+FROM s JOIN p USING (side) GROUP BY ALL""")
+def fitted_stats(spark, d):
+    """Statistics of two splits, each fitted once for its fingerprint and settings, and read when asked for again; both asked for twice."""
+    frames = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    folder, out = new_path(spark, "fitted"), None
+    for side, held in (("train", F.col("vec_id") % 5 != 0), ("validation", F.col("vec_id") % 5 == 0)):
+        mark = fitted.split_fingerprint(table(spark, d, "embeddings").where(held), "vec_id")
+        fits = []
+
+        def fit(held=held, fits=fits):
+            fits.append(held)
+            return stats.gaussian(frames.where(held), ["dim"], "x", 1e-3)
+
+        asked = [fitted.fit_once(spark, folder, mark, {"kind": "gaussian", "min_std": 1e-3}, fit) for _ in range(2)]
+        one = asked[1].select(F.lit(side).alias("side"), "fingerprint", "dim", "n", F.round("mean", 8).alias("mean"), F.round("std", 6).alias("std"), F.lit(len(fits) == 1).alias("reused"))
+        out = one if out is None else out.unionByName(one)
+    return out
