@@ -271,21 +271,32 @@ def cut(words: tuple[int, ...], most_words: int, longest: int) -> Iterator[tuple
 
 
 def _count_phrases(filters: list, most_words: int) -> callable:
-    """(lang, phrase, n) of a task's phrases, by automata of its stretches."""
-
-    def phrases(lang: str, held: Counter, names: dict[bytes, int]) -> pa.RecordBatch:
-        automaton, words = Automaton(), [x.decode() for x in names]
-        for part, weight in held.items():
-            automaton.add(part, weight)
-        automaton.settle()
-        found = [(" ".join([words[w] for w in path]), n) for path, n in automaton.substrings(2, most_words) if n]
-        columns = [pa.array([lang] * len(found), pa.string()), pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+    """(lang, phrase, n) of a task's phrases, by automata of its stretches; counts of several automata are added up."""
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(f.value, np.uint8) for f in filters]
         held: dict[str, tuple[Counter, dict[bytes, int]]] = {}
+        counts: dict[str, dict[str, int]] = {}
         tokens: Counter = Counter()
+
+        def settled(lang: str) -> None:
+            """Add what an automaton of the gathered stretches counts to the task's counts."""
+            stretches, names = held.pop(lang)
+            automaton, words, own = Automaton(), [x.decode() for x in names], counts.setdefault(lang, {})
+            for part, weight in stretches.items():
+                automaton.add(part, weight)
+            automaton.settle()
+            for path, n in automaton.substrings(2, most_words):
+                if n:
+                    phrase = " ".join([words[w] for w in path])
+                    own[phrase] = own.get(phrase, 0) + n
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                columns = [pa.array([lang] * len(own), pa.string()), pa.array([*own], pa.string()), pa.array([*own.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+            counts.clear()
+
         for lang, texts in _shards(source):
             shard = Shard(texts, lang)
             own, names = held.setdefault(lang, (Counter(), {}))
@@ -295,13 +306,14 @@ def _count_phrases(filters: list, most_words: int) -> callable:
                     if part not in own:
                         tokens[lang] += len(part)
                     own[part] += weight * sign
-                if tokens[lang] > MOST_TOKENS:
-                    yield phrases(lang, own, names)
-                    tokens[lang] = 0
-                    own.clear()
-                    names.clear()
-        for lang, (own, names) in held.items():
-            yield phrases(lang, own, names)
+            if tokens[lang] > MOST_TOKENS:
+                settled(lang)
+                tokens[lang] = 0
+            if sum(map(len, counts.values())) > MOST_COUNTS // 2:
+                yield from rows()
+        for lang in [*held]:
+            settled(lang)
+        yield from rows()
 
     return count
 
