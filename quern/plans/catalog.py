@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import artifacts, checks, clips, evaluation, folding, gates, graphs, manifests, registry, relations, scans, statistics, windowing, windows  # noqa: F401
+from quern.plans import artifacts, checks, clips, evaluation, folding, gates, graphs, manifests, registry, relations, reports, scans, statistics, windowing, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
