@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import checks, keys
+from quern.operators import frame_audit as audit
 from quern.operators import quality
 from quern.plans.registry import query
 from quern.sources import documents, episodes, records
@@ -240,3 +241,47 @@ def contiguity_in_order(spark, d):
     """Whether turns count up in the order of another column, which stands for the order in a file."""
     rows = table(spark, d, "conversations").withColumn("size", F.length("text"))
     return quality.contiguous_in_order(rows, ["conv_id"], "turn", ["size", "turn"])
+
+
+@query("""WITH f AS (SELECT user_id AS u, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, value::FLOAT AS x,
+  json_extract(props, '$.k')::FLOAT AS k FROM events),
+g AS (SELECT u, t, k, CASE WHEN u % 17 = 0 AND t = 0 THEN 'nan'::FLOAT ELSE x END AS x, CASE WHEN u % 13 = 0 AND t % 3 = 0 THEN u + 1 ELSE u END AS embedded,
+  CASE WHEN u % 7 = 0 THEN t // 2 ELSE t END AS frame_index, CASE WHEN u % 11 = 0 THEN 0 ELSE event_id END AS idx FROM f WHERE u % 19 > 0),
+a AS (SELECT u, count(*) AS rows, bool_and(isfinite(x)) AS finite, list_sort(list(DISTINCT embedded)) AS e, bool_and(frame_index = t) AS contiguous, count(DISTINCT idx) = count(*) AS uniq,
+  min(k)::DOUBLE AS least, max(k)::DOUBLE AS most FROM g GROUP BY u),
+n AS (SELECT user_id AS u, count(*) + (user_id % 5 = 0)::INT AS length FROM events GROUP BY user_id)
+SELECT u AS user_id, coalesce(rows, 0) AS rows, coalesce(finite, false) AS finite, coalesce(array_to_string(e, ','), '') AS embedded, contiguous AS frame_index_contiguous, uniq AS index_unique,
+  least, most, concat_ws(',', CASE WHEN rows IS NOT NULL AND e <> [u] THEN 'embedded_episode_index_mismatch' END, CASE WHEN NOT contiguous THEN 'frame_index_not_contiguous' END,
+  CASE WHEN NOT uniq THEN 'index_not_unique_within_episode' END, CASE WHEN rows IS NULL THEN 'missing_parquet' END, CASE WHEN NOT finite THEN 'nonfinite_action' END,
+  CASE WHEN rows <> length THEN 'row_length_mismatch' END) AS errors FROM n LEFT JOIN a USING (u)""")
+def frame_audit(spark, d):
+    """Users' events as frames of episodes, some spoiled and some without any, each audited in one pass."""
+    from pyspark.sql import Window
+
+    events, u = table(spark, d, "events"), F.col("user_id")
+    t = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
+    k = F.get_json_object("props", "$.k").cast("float")
+    rows = events.select("user_id", "event_id", F.col("value").cast("float").alias("x"), k.alias("k"), t.alias("t")).where(u % 19 > 0)
+    nan = F.when((u % 17 == 0) & (F.col("t") == 0), float("nan")).otherwise(F.col("x")).cast("float")
+    frames = rows.select(
+        "user_id",
+        "t",
+        F.array(nan, "k").alias("v"),
+        F.when((u % 13 == 0) & (F.col("t") % 3 == 0), u + 1).otherwise(u).alias("embedded"),
+        F.when(u % 7 == 0, F.expr("t div 2")).otherwise(F.col("t")).alias("frame_index"),
+        F.when(u % 11 == 0, 0).otherwise(F.col("event_id")).alias("idx"),
+    )
+    audits = audit.frame_audits(frames, "user_id", ["t"], "v", embedded="embedded", frame_index="frame_index", index="idx")
+    listed = events.groupBy("user_id").agg((F.count("*") + (u % 5 == 0).cast("int")).alias("length")).withColumn("at", u)
+    out = audit.audited(listed, audits, "user_id", "at", "length")
+    return out.select(
+        "user_id",
+        "rows",
+        "finite",
+        F.array_join("embedded", ",").alias("embedded"),
+        "frame_index_contiguous",
+        "index_unique",
+        F.get("minimum", F.lit(1)).alias("least"),
+        F.get("maximum", F.lit(1)).alias("most"),
+        F.array_join("errors", ",").alias("errors"),
+    )
