@@ -11,6 +11,10 @@ from quern.sources import artifacts as source
 
 #: The names that :func:`quern.operators.partitions.fold_audit` gives to an artifact's counts.
 _COUNTED = {"duplicate_train_episode_key_count": "duplicate_train_count", "duplicate_validation_episode_key_count": "duplicate_validation_count"}
+#: What a pristine split's artifact calls itself, unless a caller's artifacts have another name.
+ARTIFACT_TYPE = "checkpoint_pristine_split"
+#: Keys that one document of an artifact lists, about.
+DOCUMENT_KEYS = 10_000
 SCOPES = {"owner": "owner", "repository": "repository_id", "validation_group": "validation_group"}
 
 
@@ -155,7 +159,7 @@ def pristine_audit(official: DataFrame, sides: DataFrame) -> DataFrame:
     return _long_rows(both, [], {c: F.col(c) for c in both.columns}, "counted")
 
 
-def pristine_findings(artifacts: DataFrame, manifest: DataFrame, manifest_sha256: str, metadata_sha256: str | None, split_id: str, official_size: int) -> DataFrame:
+def pristine_findings(artifacts: DataFrame, manifest: DataFrame, manifest_sha256: str, metadata_sha256: str | None, split_id: str, official_size: int, artifact_type: str = ARTIFACT_TYPE) -> DataFrame:
     """(fold_id, check, recorded, recounted, ok) of a pristine split's artifact, of one document or of several that share their header.
 
     Headers are told by 1 where they say what they must. The listed held-out
@@ -166,7 +170,7 @@ def pristine_findings(artifacts: DataFrame, manifest: DataFrame, manifest_sha256
     a = F.col("a")
     wanted = {
         "schema_version": a["schema_version"] == 1,
-        "artifact_type": a["artifact_type"] == "checkpoint_pristine_split",
+        "artifact_type": a["artifact_type"] == artifact_type,
         "split_id": a["split_id"] == split_id,
         "no_submission_kit": ~a["submission_kit_used"],
         "no_evaluation_data": ~a["evaluation_data_used"],
@@ -213,9 +217,85 @@ def pristine_findings(artifacts: DataFrame, manifest: DataFrame, manifest_sha256
     return one.select(F.inline(pairs)).select(F.lit(None).cast("string").alias("fold_id"), "check", "recorded", "recounted", ok.alias("ok"))
 
 
-def audited_pristine(artifacts: DataFrame, manifest: DataFrame, manifest_sha256: str, metadata_sha256: str | None, split_id: str, official_size: int) -> DataFrame:
+def audited_pristine(artifacts: DataFrame, manifest: DataFrame, manifest_sha256: str, metadata_sha256: str | None, split_id: str, official_size: int, artifact_type: str = ARTIFACT_TYPE) -> DataFrame:
     """(side, key) of a pristine split whose artifact holds; an error otherwise."""
-    require_ok(pristine_findings(artifacts, manifest, manifest_sha256, metadata_sha256, split_id, official_size), f"split {split_id!r}")
+    require_ok(pristine_findings(artifacts, manifest, manifest_sha256, metadata_sha256, split_id, official_size, artifact_type), f"split {split_id!r}")
     listed = artifacts.select(F.explode("a.usable_validation_episode_keys").alias("key")).distinct().withColumn("_held", F.lit(True))
     rows = manifest.where("include").select("key").join(listed, "key", "left")
     return rows.select(F.when(F.col("_held"), VALIDATION).otherwise(TRAIN).alias("side"), "key")
+
+
+def _dealt(rows: DataFrame, by: list[str], lists: dict[str, Column], document_keys: int) -> DataFrame:
+    """(by..., the lists) of rows (key, ...), dealt by digests of their keys to as many documents as keep lists short; null values are left out."""
+    documents = 1 + rows.count() // document_keys
+    dealt = rows.withColumn("_document", F.pmod(F.xxhash64("key"), F.lit(documents)))
+    return dealt.groupBy(*by, "_document").agg(*[F.array_sort(F.collect_list(x)).alias(n) for n, x in lists.items()]).drop("_document")
+
+
+def fold_documents(listed: DataFrame, manifest: DataFrame, manifest_sha256: str, document_keys: int = DOCUMENT_KEYS) -> DataFrame:
+    """(value): the JSON documents of folds (fold_id, side, key), with their audit as it is counted now.
+
+    Nothing is made of a collection in which a fold fails its audit; that is an error.
+    """
+    again = fold_audit(listed, manifest.where("include"), "key", SCOPES)
+    failed = [r.fold_id for r in again.where(~F.col("passed")).select("fold_id").orderBy("fold_id").limit(10).collect()]
+    if failed:
+        raise ValueError(f"folds fail their audit: {', '.join(map(str, failed))}")
+    names = (*source.TRUE_CHECKS, *source.ZERO_CHECKS)
+    audits = again.select("fold_id", F.struct(*[F.col(_COUNTED.get(c, c)).alias(c) for c in names]).alias("audit"))
+    on = {f"{s}_episode_keys": F.when(F.col("side") == s, F.col("key")) for s in (TRAIN, VALIDATION)}
+    sizes = listed.groupBy("fold_id").agg(*[F.count(F.when(F.col("side") == s, F.lit(1))).alias(f"{s}_episode_count") for s in (TRAIN, VALIDATION)])
+    summary = F.struct(*[f"{s}_episode_count" for s in (TRAIN, VALIDATION)]).alias("summary")
+    n = manifest.agg(F.count("*").alias("total_record_count"), F.count_if("include").alias("included_episode_count"))
+    rows = _dealt(listed, ["fold_id"], on, document_keys).join(audits, "fold_id").join(sizes, "fold_id").join(F.broadcast(n))
+    document = F.struct(
+        F.lit(1).alias("schema_version"),
+        F.struct(F.lit(True).alias("passed"), F.lit(True).alias("all_fold_audits_passed")).alias("audit"),
+        F.struct(F.lit(manifest_sha256).alias("sha256"), "total_record_count", "included_episode_count").alias("source_manifest"),
+        F.array(F.struct("fold_id", "audit", summary, *on)).alias("folds"),
+    )
+    return rows.select(F.to_json(document).alias("value"))
+
+
+def pristine_documents(
+    official: DataFrame, manifest: DataFrame, manifest_sha256: str, metadata_sha256: str, split_id: str, official_size: int, document_keys: int = DOCUMENT_KEYS, artifact_type: str = ARTIFACT_TYPE
+) -> DataFrame:
+    """(value): the JSON documents of a split whose held-out side is an official list (episode_key, video_key).
+
+    An official list of another size, with an episode twice or with one that
+    the manifest doesn't know, and a split with an empty side are errors.
+    """
+    sides = pristine_sides(official, manifest)
+    counts = {r.check: r.counted for r in pristine_audit(official, sides).collect()}
+    wrong = {
+        "official_examples": counts["official_examples"] != official_size,
+        "official_episodes": counts["official_episodes"] != official_size,
+        "unknown_official": counts["unknown_official"] > 0,
+        "train_episodes": counts["train_episodes"] == 0,
+        "usable_validation": counts["usable_validation"] == 0,
+    }
+    if broken := [f"{c} ({counts[c]})" for c, bad in wrong.items() if bad]:
+        raise ValueError(f"no pristine split: {', '.join(broken)}")
+    prints = fingerprints(sides.where(F.col("side").isin(TRAIN, VALIDATION)), ["side"]).agg(
+        *[F.max(F.when(F.col("side") == s, F.col("fingerprint"))).alias(n) for s, n in ((TRAIN, "continuation_train_fingerprint"), (VALIDATION, "usable_validation_fingerprint"))]
+    )
+    example = F.struct(F.col("key").alias("episode_key"), "video_key")
+    rows = official.select(F.col("episode_key").alias("key"), "video_key").join(sides.select("key", "side", "reasons"), "key", "left")
+    excluded = F.struct(F.col("key").alias("episode_key"), F.col("reasons").alias("exclusion_reasons"))
+    lists = {
+        "official_validation_examples": example,
+        "usable_validation_episode_keys": F.when(F.col("side") == VALIDATION, F.col("key")),
+        "manifest_excluded_official_validation": F.when(F.col("side") == "excluded", excluded),
+    }
+    told = {
+        "schema_version": F.lit(1),
+        "artifact_type": F.lit(artifact_type),
+        "split_id": F.lit(split_id),
+        "submission_kit_used": F.lit(False),
+        "evaluation_data_used": F.lit(False),
+        "source_manifest": F.struct(F.lit(manifest_sha256).alias("sha256"), F.lit(counts["train_episodes"] + counts["usable_validation"]).alias("included_episode_count")),
+        "source_train_metadata": F.struct(F.lit(metadata_sha256).alias("sha256")),
+        "audit": F.struct(F.lit(True).alias("passed"), *[F.lit(v).alias(c) for c, v in counts.items()]),
+    }
+    made = _dealt(rows, [], lists, document_keys).join(F.broadcast(prints))
+    return made.select(F.to_json(F.struct("*", *[x.alias(c) for c, x in told.items()])).alias("value"))

@@ -187,3 +187,42 @@ def test_sides_and_counts_of_a_split_that_is_made(spark, manifest):
     assert by["no/such/episode_000001"][0] == "unknown" and len(by) == len(INCLUDED) + 2
     counts = {r.check: r.counted for r in artifacts.pristine_audit(spark.createDataFrame(rows, "episode_key string"), sides).collect()}
     assert counts == {"official_examples": 6, "official_episodes": 5, "train_episodes": 9, "usable_validation": 3, "excluded_official": 1, "unknown_official": 1}
+
+
+def stored(spark, docs, path, schema):
+    docs.write.text(str(path))
+    return source.parsed(source.documents(spark, str(path), lines=True), schema)
+
+
+@pytest.mark.parametrize("document_keys", [2, 10_000])
+def test_artifacts_that_are_made_hold(spark, manifest, tmp_path, document_keys):
+    """Folds and a pristine split go into documents, in one or in many, come back, and pass every check."""
+    rows = [(f["fold_id"], s, k) for f in document()["folds"] for s in ("train", "validation") for k in f[f"{s}_episode_keys"]]
+    listed = spark.createDataFrame(rows, "fold_id string, side string, key string")
+    docs = artifacts.fold_documents(listed, manifest, DIGEST, document_keys)
+    made = stored(spark, docs, tmp_path / "folds", source.FOLDS)
+    assert all(r.ok for r in artifacts.findings(made, manifest, DIGEST).collect())
+    assert made.count() == 2 if document_keys > 100 else made.count() > 8
+    assert {(r.fold_id, r.side, r.key) for r in source.members(made).collect()} == set(rows)
+    examples = [(e["episode_key"], "top") for e in pristine()["official_validation_examples"]]
+    official = spark.createDataFrame(examples, "episode_key string, video_key string")
+    docs = artifacts.pristine_documents(official, manifest, DIGEST, "meta", "v1", 8, document_keys)
+    excluded = sorted(x["episode_key"] for r in docs.collect() for x in json.loads(r.value)["manifest_excluded_official_validation"])
+    assert excluded == ["a/y/episode_000003", "b/z/episode_000003"]
+    made = stored(spark, docs, tmp_path / "pristine", source.PRISTINE)
+    split = artifacts.audited_pristine(made, manifest, DIGEST, "meta", "v1", 8)
+    held = set(pristine()["usable_validation_episode_keys"])
+    assert {(r.side, r.key) for r in split.collect()} == {("validation" if k in held else "train", k) for k in INCLUDED}
+    with pytest.raises(ValueError, match="artifact_type"):
+        artifacts.audited_pristine(made, manifest, DIGEST, "meta", "v1", 8, artifact_type="another")
+
+
+def test_nothing_is_made_of_what_fails(spark, manifest):
+    rows = [("f0", "train", k) for k in INCLUDED] + [("f0", "validation", INCLUDED[0])]
+    with pytest.raises(ValueError, match="fail their audit: f0"):
+        artifacts.fold_documents(spark.createDataFrame(rows, "fold_id string, side string, key string"), manifest, DIGEST)
+    official = lambda *keys: spark.createDataFrame([(k, "top") for k in keys], "episode_key string, video_key string")
+    make = lambda size, *keys: artifacts.pristine_documents(official(*keys), manifest, DIGEST, "meta", "v1", size)
+    for said, size, keys in (("official_examples .1.", 2, INCLUDED[:1]), ("official_episodes .1.", 2, INCLUDED[:1] * 2), ("unknown_official", 1, ["x/y/z"]), ("train_episodes", len(INCLUDED), INCLUDED), ("usable_validation", 1, ["a/x/episode_000003"])):
+        with pytest.raises(ValueError, match=said):
+            make(size, *keys)
