@@ -100,6 +100,22 @@ def test_recall_at_production_settings(spark):
     assert recall >= 0.999
 
 
+def test_recall_where_buckets_are_split(spark):
+    """As above, with 40 words of 100 that all texts share: most buckets hold more than they may and are split on other shingles."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage, docs = [word() for _ in range(40)], []
+    for i in range(1200):
+        text = passage + [word() for _ in range(60)]
+        k = 10 + i % 2
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:-k] + [word() for _ in range(k)]))]
+    assert 2 * 1200 * 36 / 96 > 3 * C.Settings().bucket
+    out = C.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    found = Counter((r.doc_id // 2 % 2, r.n_links) for r in out.collect())
+    assert found[1, 0] == 1200 and set(found) <= {(1, 0), (0, 1), (0, 0)}
+    assert found[0, 1] >= 0.999 * 1200
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "text string, doc_id long")
     assert C.near_duplicates(df).count() == C.keep_one_of_each(df).count() == 0
