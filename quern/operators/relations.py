@@ -25,8 +25,10 @@ def overlap(rows: DataFrame, key: str | Column, side: str) -> DataFrame:
     return sides.agg(F.count_if(F.col("sides") > 1).alias("overlap"), F.count("*").alias("keys"))
 
 
-#: Passages without an inner word are met by so many characters of their beginning, or by all if there are fewer.
+#: Passages without an inner word are met by so many of their characters, or by all if there are fewer.
 START = 8
+#: White space, as in a regular expression's brackets.
+SPACE = r" \t\n\r\f\x0B"
 
 
 def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
@@ -37,11 +39,11 @@ def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100
     more meet the documents' distinct words by an equi-join on the longest of
     their inner words, and only then are texts compared. The others, short
     ones or those of a script without spaces, meet the texts' distinct runs of
-    characters, as long as the passage's beginning, in the same way. Documents
+    some characters, around white space if they have any, in the same way. Documents
     are told by their ids until then; a list of passages that is small is sent
     to all tasks. A null id meets no text.
     """
-    split = F.split(F.trim("text"), r"[ \t\n\r\f\x0B]+")
+    split = F.split(F.trim("text"), f"[{SPACE}]+")
     small = passages.count() <= broadcast_rows
 
     def met(keys: DataFrame, lists: DataFrame, on: list[str]) -> DataFrame:
@@ -53,15 +55,23 @@ def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100
     long = lists.where(F.size("w") > 2).select("item_id", "passage", longest.alias("word"))
     words = docs.select("doc_id", F.explode(F.array_distinct(split)).alias("word"))
     found = met(words, long, ["word"])
+    # White space in a short passage is white space in the text, so texts are looked at around theirs alone.
+    head = F.length(F.regexp_extract("passage", f"^([^{SPACE}]*)", 1))
+    at = F.when(head < F.length("passage"), head + 1).otherwise(0)
+    before, after = F.least(at - 1, F.lit(START // 2 - 1)), F.least(F.length("passage") - at, F.lit(START // 2))
     width = F.least(F.length("passage"), F.lit(START))
-    short = lists.where(F.size("w") <= 2).select("item_id", "passage", width.alias("width"))
-    widths = [r.width for r in short.select("width").distinct().collect()]
-    if widths:
-        sized = docs.select("doc_id", "text", F.explode(F.lit(widths).cast("array<int>")).alias("width")).where("length(text) >= width")
+    around = F.format_string(f"(?s)(?=(.{{%d}}[{SPACE}].{{%d}}))", before, after)
+    anywhere = F.format_string("(?s)(?=(.{%d}))", width)
+    part = F.when(at > 0, F.substring("passage", at - before, before + 1 + after)).otherwise(F.substring("passage", F.lit(1), width))
+    short = lists.where(F.size("w") <= 2).select(
+        "item_id", "passage", F.when(at > 0, around).otherwise(anywhere).alias("pattern"), part.alias("part")
+    )
+    patterns = [r.pattern for r in short.select("pattern").distinct().collect()]  # some dozens at most
+    if patterns:
         # A look ahead at each place, so that time grows with the length and not with its square.
-        runs = "array_distinct(regexp_extract_all(text, concat('(?s)(?=(.{', width, '}))'), 1))"
-        starts = sized.select("doc_id", "width", F.explode(F.expr(runs)).alias("start"))
-        found = found.unionByName(met(starts, short.withColumn("start", F.expr("left(passage, width)")), ["width", "start"]))
+        found_parts = F.array_distinct(F.regexp_extract_all("text", F.col("pattern"), F.lit(1)))
+        every = docs.select("doc_id", "text", F.explode(F.lit(patterns)).alias("pattern")).select("doc_id", "pattern", F.explode(found_parts).alias("part"))
+        found = found.unionByName(met(every, short, ["pattern", "part"]))
     # Texts come back for what was met alone, by document.
     own = docs.select("doc_id", "text").where("text is not null")
     return found.distinct().join(own, "doc_id").where(F.expr("contains(text, passage)")).select("doc_id", "item_id").distinct()

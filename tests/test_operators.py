@@ -112,7 +112,8 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
 @pytest.mark.parametrize("broadcast_rows", [100, 0])
 def test_passages_without_inner_words_are_found(spark, broadcast_rows):
     texts = ["one two three four", "two\u00a0three\u00a0four", "这是一个很长的段落没有空格", "", None, "zone", "a two  three"]
-    items = ["two three four", "two three", "one", "two\u00a0three\u00a0four", "一个很长的段落没有", "一个很长的段落没无", "", None, "e", "absent"]
+    texts += ["a\tb", "xa\tbcdefg h", " lead", "trail  ", "\n", "😀a 😀b", "abc😀😀 tail of it"]
+    items = ["a\tb", "a\tbcdefg", " lead", "il  ", "\n", "  ", " ", "😀 ", "a 😀", "😀😀 tail", "c😀😀", "\ta", "two three four", "two three", "one", "two\u00a0three\u00a0four", "一个很长的段落没有", "一个很长的段落没无", "", None, "e", "absent"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     passages = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
     got = {(r.doc_id, r.item_id) for r in relations.contained_in(docs, passages, broadcast_rows).collect()}
