@@ -27,6 +27,8 @@ def overlap(rows: DataFrame, key: str | Column, side: str) -> DataFrame:
 
 #: Passages without an inner word are met by so many of their characters, or by all if there are fewer.
 START = 8
+#: Characters on both sides of white space that a short passage with white space is met by.
+BEFORE, AFTER = 2, 3
 #: White space, as in a regular expression's brackets.
 SPACE = r" \t\n\r\f\x0B"
 
@@ -58,7 +60,9 @@ def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100
     # White space in a short passage is white space in the text, so texts are looked at around theirs alone.
     head = F.length(F.regexp_extract("passage", f"^([^{SPACE}]*)", 1))
     at = F.when(head < F.length("passage"), head + 1).otherwise(0)
-    before, after = F.least(at - 1, F.lit(START // 2 - 1)), F.least(F.length("passage") - at, F.lit(START // 2))
+    # Both sides are of one length or none, so that there are few patterns; each is a pass over the texts.
+    before = F.when(at > BEFORE, BEFORE).otherwise(0)
+    after = F.when(F.length("passage") - at >= AFTER, AFTER).otherwise(0)
     width = F.least(F.length("passage"), F.lit(START))
     around = F.format_string(f"(?s)(?=(.{{%d}}[{SPACE}].{{%d}}))", before, after)
     anywhere = F.format_string("(?s)(?=(.{%d}))", width)
@@ -66,7 +70,7 @@ def contained_in(docs: DataFrame, passages: DataFrame, broadcast_rows: int = 100
     short = lists.where(F.size("w") <= 2).select(
         "item_id", "passage", F.when(at > 0, around).otherwise(anywhere).alias("pattern"), part.alias("part")
     )
-    patterns = [r.pattern for r in short.select("pattern").distinct().collect()]  # some dozens at most
+    patterns = [r.pattern for r in short.select("pattern").distinct().collect()]  # four, and START at most
     if patterns:
         # A look ahead at each place, so that time grows with the length and not with its square.
         found_parts = F.array_distinct(F.regexp_extract_all("text", F.col("pattern"), F.lit(1)))
