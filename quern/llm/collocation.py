@@ -22,6 +22,7 @@ phrases that are a word shorter.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -47,6 +48,7 @@ SHARD_WORDS = 24_000_000
 LONGEST_RUN = 20_000
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
+_END = re.compile(b"[" + PIECE_ENDS + b"]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANKED = bytes(0x20 if i in PIECE_ENDS else b for i, b in enumerate(_LOWER))
 _KIND = np.zeros(256, np.uint8)
@@ -109,14 +111,27 @@ def runs(shard: Shard, filters: list[np.ndarray]) -> list[tuple[np.ndarray, np.n
     return out
 
 
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about ``SLICE_BYTES`` that end with pieces; only a piece that is longer makes a longer part."""
+    first = 0
+    while len(text) - first > SLICE_BYTES and (end := _END.search(text, first + SLICE_BYTES)):
+        yield text[first : end.end()]
+        first = end.end()
+    yield text[first:]
+
+
 def _shards(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """From (lang, text) rows."""
+    """(lang, texts) from (lang, text) rows; a long text comes in parts."""
     for batch in source:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
         for first, last in slices(texts, SLICE_BYTES):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(langs[first:last], texts.slice(first, last - first).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
+                if len(text) > SLICE_BYTES:
+                    for part in _parts(text):
+                        yield lang, [part]
+                else:
+                    by_lang.setdefault(lang, []).append(text)
             for lang, own in by_lang.items():
                 yield lang, own
 

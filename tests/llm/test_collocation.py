@@ -128,6 +128,17 @@ def test_levels_let_all_frequent_runs_through():
     assert len(collocation.Shard([], "en").starts) == len(collocation.Shard([b" ., "], "en").starts) == 0
 
 
+def test_long_texts_come_in_parts_that_end_with_pieces(monkeypatch):
+    monkeypatch.setattr(collocation, "SLICE_BYTES", 40)
+    rng = random.Random(2)
+    text = "".join(rng.choice(["one two ", "three", ". ", "\n", " four five six"]) for _ in range(200)).encode()
+    parts = list(collocation._parts(text))
+    assert b"".join(parts) == text and len(parts) > 10 and all(p[-1:] in (b".", b"\n") for p in parts[:-1])
+    assert list(collocation._parts(b"x" * 100)) == [b"x" * 100] and list(collocation._parts(b"")) == [b""]
+    shards = list(collocation._shards(iter([collocation.pa.RecordBatch.from_arrays([["en", "en", "de"], [b"short", text, b"kurz"]], ["lang", "text"])])))
+    assert sorted(x for _, own in shards for x in own) == sorted([b"short", b"kurz", *parts])
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
