@@ -38,9 +38,11 @@ def _reports(spark, d):
     )
     # An order has some line items; a report is one document by its nature.
     rows = lines.groupBy("report").agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    written = F.when(F.col("report") % 101 == 0, F.concat("samples", F.slice("samples", 1, 1))).otherwise(F.col("samples"))
+    rows = rows.withColumn("written", written)
     key, n = F.col("report"), F.size("samples")
     off = lambda name: key % PLANTED[name][0] == 0
-    mean = lambda m: F.aggregate(F.col("samples")["metrics"][m], F.lit(0.0), lambda a, x: a + x) / n
+    mean = lambda m, samples="samples": F.aggregate(F.col(samples)["metrics"][m], F.lit(0.0), lambda a, x: a + x) / F.size(samples)
     contract = lambda stats: F.struct(
         stats.alias("stats_sha256"), F.lit(A).alias("fold_fingerprint"), F.lit(B).alias("manifest_sha256"), F.lit(A).alias("fold_artifact_sha256"),
         F.lit(B).alias("config_sha256"), F.lit("causal").alias("alignment"), F.lit("f0").alias("fold_id"),
@@ -69,16 +71,18 @@ def _reports(spark, d):
         F.when(key % 89 == 0, F.lit(None)).otherwise(F.lit("unit")).alias("metric_space"),
         F.when(~off("first_frame_hard_clamped"), True).alias("first_frame_hard_clamped"),
     )
+    # Off by one from the samples that are written, as one of them more can move their mean by one as well.
+    l1 = F.when(key % 103 == 0, mean("l1", "written") + 1).otherwise(mean("l1"))
     document = F.struct(
         F.when(off("schema_version"), 2).otherwise(1).alias("schema_version"),
         F.when(off("validation_scope"), "all").otherwise("held_out_train_only").alias("validation_scope"),
         off("submission_kit_used").alias("submission_kit_used"),
         n.alias("sample_limit"),
         n.alias("sample_count"),
-        F.when(key % 101 == 0, F.concat("samples", F.slice("samples", 1, 1))).otherwise(F.col("samples")).alias("samples"),
+        F.col("written").alias("samples"),
         reports.fingerprint(F.col("samples")).alias("selection_fingerprint"),
         F.struct(
-            F.struct((mean("l1") + (key % 103 == 0).cast("int")).alias("l1"), mean("ssim").alias("ssim")).alias("overall"), F.lit("l1").alias("ranking_metric")
+            F.struct(l1.alias("l1"), mean("ssim").alias("ssim")).alias("overall"), F.lit("l1").alias("ranking_metric")
         ).alias("metrics"),
         provenance.alias("provenance"),
     )
