@@ -34,6 +34,11 @@ REPORT = (
     "schema_version long, validation_scope string, submission_kit_used boolean, sample_limit long, sample_count long, "
     f"samples array<{SAMPLE}>, selection_fingerprint string, metrics struct<overall: {METRICS}, ranking_metric: string>, provenance {PROVENANCE}"
 )
+#: The fields of a report that :func:`cohort_fields` reads; a parser passes over the others, samples above all.
+COHORT = (
+    "sample_limit long, metrics struct<ranking_metric: string>, provenance struct<expected_contract: struct<fold_id: string, manifest_sha256: string>, "
+    "selection_seed: long, metric_space: string, train_repository_ids: array<string>>"
+)
 #: Parts of a path that a folder to train on must not have.
 NOT_TO_TRAIN_ON = ("eval", "submission_kit", "official_submission_kit")
 #: How far a recorded mean may be from the mean of the samples, in parts of it and at least.
@@ -165,10 +170,14 @@ def cohort_fields(r: Column) -> dict[str, Column]:
 def differing_cohorts(reports: DataFrame, cohort: str, fields: dict[str, Column]) -> DataFrame:
     """(cohort, field, reports, least, most) of fields in which a cohort's reports differ; what is missing is a value too.
 
-    Only the least and the greatest value of a field are kept on the way.
+    Reports that are alike in all fields are counted first, so a row for each
+    field is made of what is distinct alone. Only the least and the greatest
+    value of a field are kept on the way.
     """
-    long = reports.select(cohort, F.inline(F.array(*[F.struct(F.lit(n).alias("field"), x.alias("value")) for n, x in fields.items()])))
-    ends = long.groupBy(cohort, "field").agg(F.count("*").alias("reports"), F.min("value").alias("least"), F.max("value").alias("most"))
+    alike = reports.groupBy(cohort, F.struct(*[x.alias(n) for n, x in fields.items()]).alias("values")).agg(F.count("*").alias("reports"))
+    named = F.array(*[F.struct(F.lit(n).alias("field"), F.col("values")[n].alias("value")) for n in fields])
+    long = alike.select(cohort, "reports", F.inline(named))
+    ends = long.groupBy(cohort, "field").agg(F.sum("reports").alias("reports"), F.min("value").alias("least"), F.max("value").alias("most"))
     return ends.where("least <> most")
 
 

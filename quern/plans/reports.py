@@ -26,10 +26,9 @@ PLANTED = {
 A, B = "a" * 64, "b" * 64
 
 
-def _reports(spark, d):
-    lines = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("report"), "l_linenumber", "l_quantity"
-    )
+def _reports(spark, d, schema=reports.REPORT):
+    # Three numbers a line go through the exchange; samples are made behind it.
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report"), "l_linenumber", "l_quantity").repartition("report")
     sample = F.struct(
         F.col("l_linenumber").cast("long").alias("dataset_index"),
         F.concat(F.lit("r"), (F.col("l_linenumber") % 3).cast("string")).alias("repository_id"),
@@ -37,7 +36,7 @@ def _reports(spark, d):
         F.struct(F.col("l_quantity").cast("double").alias("l1"), (1 / (F.col("l_quantity") + 1)).alias("ssim")).alias("metrics"),
     )
     # An order has some line items; a report is one document by its nature.
-    rows = lines.groupBy("report").agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    rows = lines.groupBy("report").agg(F.sort_array(F.collect_list(sample)).alias("samples"))
     written = F.when(F.col("report") % 101 == 0, F.concat("samples", F.slice("samples", 1, 1))).otherwise(F.col("samples"))
     rows = rows.withColumn("written", written)
     key, n = F.col("report"), F.size("samples")
@@ -87,7 +86,7 @@ def _reports(spark, d):
         provenance.alias("provenance"),
     )
     made = rows.select("report", (key % 500).alias("cohort"), F.to_json(document).alias("text"))
-    return reports.parsed_reports(made, "text")
+    return reports.parsed_reports(made, "text", schema)
 
 
 def _planted_sql() -> str:
@@ -122,5 +121,5 @@ f AS (SELECT cohort, 'sample_limit' AS field, '{"x":' || n || '}' AS v FROM o UN
 SELECT cohort, field, count(*) AS reports, min(v) AS least, max(v) AS most FROM f GROUP BY cohort, field HAVING min(v) <> max(v)""")
 def report_cohorts(spark, d):
     """Fields in which the reports of a cohort differ although they must not."""
-    rows = _reports(spark, d)
+    rows = _reports(spark, d, reports.COHORT)
     return reports.differing_cohorts(rows, "cohort", reports.cohort_fields(F.col("r")))

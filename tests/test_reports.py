@@ -147,3 +147,22 @@ def test_a_second_fault_does_not_mend_the_mean(spark, tmp_path):
     lines = [(10403, 1, 16.0), (10403, 2, 10.0), (103, 1, 5.0), (101, 1, 7.0), (101, 2, 8.0), (202, 3, 4.0)]
     found = against_sql(spark, tmp_path, "report_rules", lines)
     assert "(10403, 'l1_mean', 'error', '')" in found
+
+
+def test_cohorts_count_what_is_alike_and_parse_what_they_compare(spark, tmp_path):
+    lines = [(k, i + 1, float(k % 7 + i)) for k in [*range(0, 400, 7), *range(500, 900, 7), 1500, 2994, 2500] for i in range(k % 3 + 1)]
+    assert against_sql(spark, tmp_path, "report_cohorts", lines)
+    plan = catalog.queries()["report_cohorts"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate inline")
+    assert above.count("Aggregate [") == 1 and below.count("Aggregate [") == 2
+    assert "from_json(StructField(sample_limit" in below
+
+
+def test_fields_of_cohorts_are_the_same_in_either_schema(spark):
+    docs = [json.dumps(d) for d in (sound(), *[spoil(path, value) for path, value, _ in FAULTS])] + ["no json", None, '{"sample_limit": 3, "provenance": [', "[]"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
+    whole, slim = (
+        reports.parsed_reports(rows, "text", schema).select("id", *[x.alias(n) for n, x in reports.cohort_fields(F.col("r")).items()]).orderBy("id").collect()
+        for schema in (reports.REPORT, reports.COHORT)
+    )
+    assert whole == slim
