@@ -68,11 +68,13 @@ def unit_members(episodes: DataFrame, owner: Column, group: Column, frames: Colu
 
 
 def leakage_units(members: DataFrame) -> DataFrame:
-    """(root, unit_id, n_owners, n_groups, episode_count, frame_count) of :func:`unit_members`, units of any size.
+    """(root, unit_id, owners, groups, n_owners, n_groups, episode_count, frame_count) of :func:`unit_members`.
 
     A unit's id is the digest of the JSON of its owners and groups, each in
     order. The JSON is never there as a whole: its pieces go through a running
-    digest, a list's first name without the comma that the others have.
+    digest, a list's first name without the comma that the others have. The
+    lists of owners and groups, in order, are a unit's row; where they are not
+    asked for, Spark leaves them out and units may be of any size.
     """
     lists = [("owners", "owner", '{"owners":['), ("groups", "grp", '],"validation_groups":[')]
     pieces = None
@@ -85,6 +87,8 @@ def leakage_units(members: DataFrame) -> DataFrame:
     ends = members.select("root").distinct().select("root", F.lit(len(lists)).alias("at"), F.lit("").alias("name"), F.lit("]}").alias("text"))
     named = ordered_digest(pieces.unionByName(ends), ["root"], ["at", "name"], "text", "")
     sums = members.groupBy("root").agg(F.sum("episodes").cast("long").alias("episode_count"), F.sum("frames").cast("long").alias("frame_count"))
-    sizes = pieces.groupBy("root").agg(*[F.count_if(F.col("at") == at).alias(f"n_{n}") for at, (n, *_) in enumerate(lists)])
+    of = lambda at: F.col("at") == at
+    names = [F.sort_array(F.collect_list(F.when(of(at), F.col("name")))).alias(n) for at, (n, *_) in enumerate(lists)]
+    sizes = pieces.groupBy("root").agg(*names, *[F.count_if(of(at)).alias(f"n_{n}") for at, (n, *_) in enumerate(lists)])
     unit_id = F.concat(F.lit("leakage-unit:"), F.substring("digest", 1, 20)).alias("unit_id")
-    return named.join(sums, "root").join(sizes, "root").select("root", unit_id, "n_owners", "n_groups", "episode_count", "frame_count")
+    return named.join(sums, "root").join(sizes, "root").select("root", unit_id, "owners", "groups", "n_owners", "n_groups", "episode_count", "frame_count")

@@ -42,9 +42,11 @@ def _unit_members(spark, d):
     return checkpointed(graph.unit_members(rows, F.col("a"), F.col("b"), F.coalesce("frames", F.lit(0))))
 
 
-@query(f"WITH RECURSIVE {UNITS} SELECT unit_id, len(owners) AS n_owners, len(grps) AS n_groups, episode_count, frame_count FROM i")
+@query(f"""WITH RECURSIVE {UNITS}
+SELECT unit_id, array_to_string(owners, ',') AS owners, array_to_string(grps, ',') AS groups, len(owners) AS n_owners, len(grps) AS n_groups, episode_count, frame_count FROM i""")
 def leakage_units(spark, d):
-    return graph.leakage_units(_unit_members(spark, d)).drop("root")
+    lists = [F.array_join(c, ",").alias(c) for c in ("owners", "groups")]
+    return graph.leakage_units(_unit_members(spark, d)).select("unit_id", *lists, "n_owners", "n_groups", "episode_count", "frame_count")
 
 
 @query(f"WITH RECURSIVE {UNITS} SELECT unit_id, 'owner' AS kind, unnest(owners) AS name FROM i UNION ALL SELECT unit_id, 'group', unnest(grps) FROM i")

@@ -1,5 +1,7 @@
 """Known vectors and edge cases of functions and operators."""
 
+import hashlib
+import json
 import math
 import random
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import checks, series
 from quern.operators import folds, frames, graph, quality, relations, stats, temporal
+from quern.plans import catalog
 from quern.streaming import events
 
 
@@ -118,3 +121,17 @@ def test_passages_without_inner_words_are_found(spark, broadcast_rows):
     passages = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
     got = {(r.doc_id, r.item_id) for r in relations.contained_in(docs, passages, broadcast_rows).collect()}
     assert got == {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t}
+
+
+def test_units_tell_their_owners_and_groups(spark):
+    rows = [("b", "g1", 2), ("a", "g2", 3), ("a", "g1", 5), ("a", "g1", 1), ('c"', "g9", 4), ("10", "h", 7), ("9", "h", 0)]
+    members = graph.unit_members(spark.createDataFrame(rows, "o string, g string, n long"), F.col("o"), F.col("g"), F.col("n"))
+    got = {tuple(r) for r in graph.leakage_units(members).select("unit_id", F.to_json("owners"), F.to_json("groups"), "n_owners", "n_groups", "episode_count", "frame_count").collect()}
+    want = set()
+    for owners, groups, episodes, count in ((["a", "b"], ["g1", "g2"], 4, 11), (['c"'], ["g9"], 1, 4), (["10", "9"], ["h"], 2, 7)):
+        told = [json.dumps(x, separators=(",", ":")) for x in (owners, groups)]
+        name = hashlib.sha256(f'{{"owners":{told[0]},"validation_groups":{told[1]}}}'.encode()).hexdigest()[:20]
+        want.add((f"leakage-unit:{name}", *told, len(owners), len(groups), episodes, count))
+    assert got == want
+    columns = catalog.queries()["leakage_units"](spark, "/root/testdata/sf0.001").columns
+    assert {"owners", "groups"} <= set(columns)
