@@ -17,8 +17,11 @@ The order of work keeps groups of copies from being compared pair by pair:
 3. Buckets whose texts are all in one component can add nothing. Others are
    split; texts whose sketch agrees with one of another component are compared
    exactly, and of the links only those that join components leave the task.
-   Buckets that splitting does not thin out are merged to clusters first, over
-   all runs, so that a large group of like texts is compared once.
+   Texts of buckets that splitting does not thin out, over all runs, are dealt
+   anew by the rarest of their samples, as many as it takes for any two that
+   agree enough to meet; a passage that many texts have in common does not
+   bring them together any more. Large ones of these groups are merged to
+   clusters first, so that a large group of like texts is compared once.
 4. Links are counted exactly, block by block, within each component; every
    link lies in one.
 
@@ -31,15 +34,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batches, checkpointed, text_digest
+from quern.llm.common import checkpointed, slices, text_digest
 
 
 @dataclass(frozen=True)
@@ -76,39 +80,52 @@ class Settings:
         return k
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
 _NO_WORDS = np.asarray([0x9E3779B97F4A7C15], dtype=np.uint64)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
+_ANY_BYTES = pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)
+
 
+def word_values(texts: pa.Array) -> Iterator[np.ndarray]:
+    """64-bit values of each text's words, in order; of words that occur often one value is worked out."""
+    for first, last in slices(texts, 1 << 20):
+        split = pc.ascii_split_whitespace(texts.slice(first, last - first).cast(options=_ANY_BYTES))
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.binary())
+        known = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words))
+        codes = found.indices.to_numpy()
+        # White space at a text's ends leaves empty words there.
+        real = pc.binary_length(words).to_numpy()[codes] > 0
+        ends = np.r_[0, np.cumsum(real)][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        values = known[codes[real]]
+        for i in range(len(split)):
+            yield values[ends[i] : ends[i + 1]]
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """64-bit values of a text's runs of words, with repeats.
+
+def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """64-bit values of each text's runs of words, with repeats.
 
     A text with fewer words has one shingle, all it has; one without words has
     a shingle that stands for that.
     """
-    found = text.split()
-    if not found:
-        return _NO_WORDS
-    values = np.fromiter(map(_HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
-    size = min(words, len(values))
-    n = len(values) - size + 1
-    with np.errstate(over="ignore"):
-        out = np.full(n, size, dtype=np.uint64)
-        for i in range(size):
-            out = out * _BASE + values[i : i + n]
-        out ^= out >> np.uint64(32)
-        out *= _BASE
-        out ^= out >> np.uint64(29)
-    return out
+    for values in word_values(texts):
+        if not len(values):
+            yield _NO_WORDS
+            continue
+        size = min(words, len(values))
+        n = len(values) - size + 1
+        with np.errstate(over="ignore"):
+            out = np.full(n, size, dtype=np.uint64)
+            for i in range(size):
+                out = out * _BASE + values[i : i + n]
+            out ^= out >> np.uint64(32)
+            out *= _BASE
+            out ^= out >> np.uint64(29)
+        yield out
+
+
+def shingle_sets(column: pa.ChunkedArray, words: int) -> list[np.ndarray]:
+    """The shingles of each text of a column, sorted and without repeats."""
+    return [np.unique(x) for chunk in column.chunks for x in shingles(chunk.cast(pa.binary()), words)]
 
 
 def _sampled(settings: Settings) -> Callable:
@@ -136,17 +153,21 @@ def _sampled(settings: Settings) -> Callable:
             columns = [pa.array(tids, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        for own, texts in batches(source, 1 << 20):
-            tids, sizes, values, size = [], [], [], 0
-            for tid, text in zip(own, texts, strict=True):
-                if tid in seen:
-                    continue
+        for batch in source:
+            new = []
+            for tid in batch.column(0).to_pylist():
+                new.append(tid not in seen)
                 if len(seen) < 100_000:
                     seen.add(tid)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            texts = batch.column(1).cast(pa.binary())
+            lengths = pc.binary_length(texts).to_numpy()
+            tids, sizes, values, size = [], [], [], 0
+            for tid, length, found in zip(batch.column(0).to_pylist(), lengths, shingles(texts, settings.words), strict=True):
                 tids.append(tid)
-                sizes.append(len(text))
-                values.append(shingles(text, settings.words))
-                size += len(values[-1])
+                sizes.append(length)
+                values.append(found)
+                size += len(found)
                 # Few enough values that they stay in the processor's cache while they are sampled.
                 if size > 1 << 15:
                     yield made(tids, sizes, values)
@@ -185,14 +206,22 @@ def _matrix(column: pa.ChunkedArray, samples: int) -> np.ndarray:
 
 
 def _brute_force(settings: Settings) -> Callable:
-    """Rows (key, tid, comp, cluster, sig) sorted by key to those whose sketch agrees with one of another component and cluster."""
-    schema = pa.schema([("key", pa.int64()), ("tid", pa.binary()), ("comp", pa.binary())])
+    """Rows (key, side, tid, comp, cluster, sig) sorted by key, side and tid to those whose sketch agrees with one of another component and cluster.
+
+    Where there are two sides, with one of the other side. The new key tells
+    which texts these are, so that the same ones from several buckets are the
+    same rows.
+    """
+    schema = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("tid", pa.binary()), ("comp", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
         for rows in runs_of_key(source, ["key"]):
             sigs, n = _matrix(rows["sig"], settings.samples), rows.num_rows
             labels = [np.unique(np.asarray(rows[c].to_pylist(), dtype=object), return_inverse=True)[1] for c in ("comp", "cluster")]
+            side = np.asarray(rows["side"])
+            if side.any():
+                labels.append(side)
             found = np.zeros(n, dtype=bool)
             for i in range(n - 1):
                 agree = np.count_nonzero(sigs[i + 1 :] == sigs[i], axis=1) >= settings.agreeing
@@ -201,7 +230,10 @@ def _brute_force(settings: Settings) -> Callable:
                 found[i] |= agree.any()
                 found[i + 1 :] |= agree
             if found.any():
-                held.append(rows.select(schema.names).filter(pa.array(found)).cast(schema))
+                kept = rows.select(["side", "tid", "comp"]).filter(pa.array(found))
+                first = int(np.count_nonzero(~side[found].astype(bool)))
+                key = xxhash.xxh3_64_intdigest(b"".join(kept["tid"].to_pylist()), seed=first) - (1 << 63)
+                held.append(kept.add_column(0, "key", pa.array([key] * len(kept), pa.int64())).cast(schema))
                 n_held += int(found.sum())
             if n_held > 5_000:
                 yield from pa.concat_tables(held).combine_chunks().to_batches()
@@ -234,7 +266,7 @@ def _exact(settings: Settings) -> Callable:
         for rows in runs_of_key(source, ["key"]):
             tids = rows["tid"].to_pylist()
             comps = np.unique(np.asarray(rows["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
-            sets = [np.unique(shingles(t, settings.words)) for t in rows["text"].cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(rows["text"], settings.words)
             split = int(len(sets) - np.count_nonzero(np.asarray(rows["side"])))
             if split == 0:
                 continue
@@ -255,9 +287,9 @@ def _verify(settings: Settings) -> Callable:
         head, head_key = None, None
         for batch in source:
             left, right = [], []
-            texts = batch.column(3).cast(pa.binary())
-            for a, part, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), texts.to_pylist(), strict=True):
-                values = np.unique(shingles(text, settings.words))
+            found = shingles(batch.column(3).cast(pa.binary()), settings.words)
+            for a, part, b, own in zip(*(batch.column(i).to_pylist() for i in range(3)), found, strict=True):
+                values = np.unique(own)
                 if b is None:
                     head, head_key = values, (a, part)
                     continue
@@ -326,7 +358,7 @@ def _count_links(settings: Settings) -> Callable:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs_of_key(source, ["key"]):
             tids, side = rows["tid"].to_pylist(), np.asarray(rows["side"])
-            sets = [np.unique(shingles(t, settings.words)) for t in rows["text"].cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(rows["text"], settings.words)
             first = int(len(sets) - np.count_nonzero(side))
             if first == len(sets):
                 links = link_counts(sets, sets, settings.similarity) - 1
@@ -465,11 +497,12 @@ class Join:
         return salted.join(heads, ["a", "salt"]).drop("salt").join(b, "b").where(same >= self.s.agreeing).select("a", "b")
 
     def compared(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Of bounded buckets (key, tid, comp, cluster), the rows (key, tid, comp) that can have a link to look for."""
-        full = rows.join(sketches, "tid").select("key", "tid", "comp", "cluster", "sig")
-        return full.repartition("key").sortWithinPartitions("key", "tid").mapInArrow(
-            _brute_force(self.s), "key long, tid binary, comp binary"
+        """Of bounded buckets (key, side, tid, comp, cluster), the rows (key, side, tid, comp) that can have a link to look for."""
+        full = rows.join(sketches, "tid").select("key", "side", "tid", "comp", "cluster", "sig")
+        found = full.repartition("key").sortWithinPartitions("key", "side", "tid").mapInArrow(
+            _brute_force(self.s), "key long, side int, tid binary, comp binary"
         )
+        return found.distinct()
 
     def exact(self, rows: DataFrame) -> DataFrame:
         """Links (a, b) between components in bounded buckets (key, side, tid, comp), enough of them to join the components."""
@@ -531,15 +564,39 @@ class Join:
             )
         return small, checkpointed(dense)
 
+    def alike(self, dense: DataFrame, sketches: DataFrame) -> DataFrame:
+        """(key, tid, comp, n) of groups in which any two texts of dense buckets, of different components, meet if their sketches agree enough.
+
+        Two texts with ``agreeing`` samples in common have at least one of them
+        among those that are left when each text drops its last ``agreeing`` - 1
+        in a common order. The rarest come first. Samples of texts of one
+        component alone can't be such texts' common ones and do not count.
+        """
+        s = self.s
+        # The samples' number below zero, so that keys are not those of buckets.
+        keys = F.array(*[F.xxhash64(F.lit(-1 - i), self.sample(i)) for i in range(s.samples)])
+        texts = dense.select("tid", "comp").distinct().join(sketches, "tid")
+        samples = dealt(texts.select("tid", "comp", F.explode(keys).alias("key")), "tid")
+        shared = counted(samples, "key", "comp").where("low < high").select("key", "n", "salts")
+        of_text = told(samples, shared, "key").groupBy("tid", "comp").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ranked"))
+        left = F.slice("ranked", 1, F.size("ranked") - (s.agreeing - 1))
+        first = of_text.where(F.size("ranked") >= s.agreeing).select("tid", "comp", F.explode(left.getField("key")).alias("key"))
+        groups = dealt(checkpointed(first), "tid")
+        return checkpointed(told(groups, counted(groups, "key", "comp").where("low < high").select("key", "n", "salts"), "key"))
+
     def joined(self, comps: DataFrame, small: DataFrame, dense: DataFrame, sketches: DataFrame) -> DataFrame:
         """Links (a, b) that join components.
 
-        Dense buckets that share texts, in this run or another, are one
-        cluster, and all of its texts are compared in blocks, once. In small
-        buckets, texts of one cluster need no more comparing.
+        Texts of dense buckets meet in groups of their own, so in small
+        buckets they need no more comparing. Large ones of these groups that
+        share texts are one cluster, and all of its texts are compared in
+        blocks, once; so texts of one cluster need no comparing in small groups.
+        Whole texts are sent of those alone whose sketches agree.
         """
-        heads = dense.groupBy("key").agg(F.min("tid").alias("a"))
-        clusters = components(dense.join(heads, "key").select("a", F.col("tid").alias("b"))).select(
+        groups = self.alike(dense, sketches)
+        large = groups.where(F.col("n") > self.s.bucket)
+        heads = large.groupBy("key").agg(F.min("tid").alias("a"))
+        clusters = components(large.join(heads, "key").select("a", F.col("tid").alias("b"))).select(
             F.col("node").alias("tid"), F.col("comp").alias("cluster")
         )
         known = clusters.join(comps.withColumnRenamed("node", "tid"), "tid", "left").select(
@@ -548,10 +605,17 @@ class Join:
         known = dealt(known.join(sketches.select("tid", "size"), "tid"), "tid")
         sizes = counted(known, "cluster", "comp").where("low < high").select("cluster", "n", "salts")
         mixed = told(known, sizes.join(self.bytes_of(known, "cluster"), "cluster"), "cluster").drop("size")
-        in_blocks = self.blocks(mixed, "cluster").select("key", "side", "tid", "comp")
-        marked = small.join(clusters, "tid", "left").withColumn("cluster", F.coalesce("cluster", "tid"))
-        in_buckets = self.compared(marked, sketches).select("key", F.lit(0).alias("side"), "tid", "comp")
-        return self.exact(in_blocks.unionByName(in_buckets))
+        sources = [
+            small.withColumn("side", F.lit(0)),
+            groups.where(F.col("n") <= self.s.bucket).drop("n").withColumn("side", F.lit(0)),
+            self.blocks(mixed, "cluster").select("key", "tid", "comp", "side"),
+        ]
+        own = [F.when(F.col("dense"), F.lit(b"")).otherwise(F.col("tid")), F.coalesce("cluster", "tid"), F.col("tid")]
+        rows = reduce(DataFrame.unionByName, [x.withColumn("source", F.lit(i)) for i, x in enumerate(sources)])
+        known = dense.select("tid").distinct().join(clusters, "tid", "left").withColumn("dense", F.lit(True))
+        together = F.get(F.array(*own), F.col("source"))
+        marked = rows.join(known, "tid", "left").select("key", "side", "tid", "comp", together.alias("cluster"))
+        return self.exact(self.compared(marked, sketches))
 
     def bytes_of(self, rows: DataFrame, key: str) -> DataFrame:
         """(key, bytes) of the texts of rows (key, size)."""

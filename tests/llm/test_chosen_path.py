@@ -3,7 +3,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -116,6 +118,66 @@ def test_recall_where_buckets_are_split(spark):
     assert found[0, 1] >= 0.999 * 1200
 
 
+def test_a_common_passage_does_not_bring_all_texts_together(spark, monkeypatch):
+    """300 texts of which 12 words of 22 are the same, and a near copy of each tenth: whole texts are sent for those alone, in number like the texts'."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(12))
+    docs = [(i, f"{passage} {' '.join(word() for _ in range(10))}") for i in range(300)]
+    docs += [(1000 + i, f"{t} {word()}") for i, t in docs[::10]]
+    sent, exact, split = [], C.Join.exact, C.Join.split
+
+    def counting(self, rows):
+        sent.append(rows.count())
+        return exact(self, rows)
+
+    def dense(self, *args):
+        small, found = split(self, *args)
+        sent.append(found.select("tid").distinct().count())
+        return small, found
+
+    monkeypatch.setattr(C.Join, "exact", counting)
+    monkeypatch.setattr(C.Join, "split", dense)
+    out = C.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), settings=C.Settings(bucket=6, block=4))
+    assert Counter(map(tuple, out.collect())) == plain(docs)
+    assert sent[0] > 100 and sent[1] < 2 * len(docs)
+
+
+def test_agreeing_texts_of_dense_buckets_meet_in_a_group(spark):
+    rng = random.Random(8)
+    chosen, docs = C.Settings(samples=32), []
+    for g in range(30):
+        base = [rng.randrange(3) if rng.random() < 0.4 else rng.randrange(1 << 20) for _ in range(32)]
+        for c in range(6):
+            sig = [x if rng.random() < 0.8 else rng.randrange(1 << 20) for x in base]
+            docs.append((bytes([g, c]), bytes([g, c // 2]), sig))
+    dense = spark.createDataFrame([(k, t, comp) for k in (1, 2) for t, comp, _ in docs], "key long, tid binary, comp binary")
+    sketches = spark.createDataFrame([(t, 1, sig) for t, _, sig in docs], "tid binary, size long, sig array<int>")
+    groups = {}
+    for r in C.Join(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", chosen).alike(dense, sketches).collect():
+        groups.setdefault(r.key, []).append(r)
+    met = set()
+    for rows in groups.values():
+        tids = sorted(bytes(r.tid) for r in rows)
+        assert len(set(tids)) == len(tids) and {r.n for r in rows} == {len(rows)}
+        met |= {(a, b) for a in tids for b in tids if a < b}
+    want = {
+        (a, b) for a, ca, x in docs for b, cb, y in docs if a < b and ca != cb and sum(i == j for i, j in zip(x, y, strict=True)) >= chosen.agreeing
+    }
+    assert len(want) > 100 and want <= met
+    assert len(met) < len(docs) * (len(docs) - 1) / 2 / 3
+
+
+def test_values_of_words_are_those_of_the_words_alone():
+    rng = random.Random(9)
+    odd = [b"", b" ", b"\n a\x0b\x0cb \x00c\x1cd \xc2\xa0x\xc2\x85y ", b"\xff\xfe a \xc3( b", "\u3000 a b c".encode()]
+    odd += [bytes(rng.choices(b" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0ab\xc3", k=rng.randint(0, 60))) for _ in range(300)] + [b"ab " * (1 << 19), b"x"]
+    for texts in (odd, odd[3:50], []):
+        column = pa.array([b"z", *texts, b"z"], pa.binary()).slice(1, len(texts))
+        got = list(C.word_values(column))
+        assert [v.tolist() for v in got] == [[xxhash.xxh3_64_intdigest(w) for w in t.split()] for t in texts]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "text string, doc_id long")
     assert C.near_duplicates(df).count() == C.keep_one_of_each(df).count() == 0
